@@ -106,7 +106,7 @@ def iso_timestamp(c) -> Column:
 
 def next_occurrence(today, day, start, end) -> tuple[Column, Column]:
     """Start and end of the next such weekday strictly after ``today``; no end = +1 h."""
-    date = F.next_day(col(today), F.substring(col(day), 1, 3))
+    date = F.call_function("next_day", col(today), F.substring(col(day), 1, 3))
     base = date.cast("timestamp")
     first = base + F.make_dt_interval(mins=minutes(start))
     last = F.when(minutes(end).isNotNull(), base + F.make_dt_interval(mins=minutes(end))) \
