@@ -42,12 +42,14 @@ def line_rows(df: DataFrame, text: str, keep: Callable[[Column], Column], column
               keys: list[str]) -> DataFrame:
     """Rows for the kept lines of a text, with columns made from the whole line array.
 
-    ``columns(lines, i)`` returns named Columns. The neighbours come from the
-    array itself, so no row leaves its partition.
+    ``columns(lines, i)`` returns named Columns. Neighbours come from the array
+    inside the row and only kept lines are unfolded, so nothing is shuffled and
+    no text is repeated per line.
     """
+    lines = F.col("_lines")
+    made = F.transform(lines, lambda x, i: F.when(keep(x), F.struct(i.alias("pos"), *columns(lines, i))))
     split = df.select(*keys, F.split(F.col(text), "\n").alias("_lines"))
-    rows = split.select(*keys, "_lines", F.posexplode("_lines").alias("pos", "line")).filter(keep(F.col("line")))
-    return rows.select(*keys, "pos", *columns(F.col("_lines"), F.col("pos")))
+    return split.select(*keys, F.inline(F.filter(made, lambda r: r.isNotNull())))
 
 
 def context(lines: Column, i: Column, around: int = 2) -> Column:
