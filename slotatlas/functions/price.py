@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotatlas import rules as R
 from slotatlas.functions.text import hash_fraction
-from slotatlas.functions.timefn import col
+from slotatlas.functions.timefn import col, let
 
 
 def parse_price(c) -> Column:
@@ -49,23 +49,24 @@ def near_keyword(text, pattern: str, chars: int = R.NEAR_CHARS, bounds=R.NEAR_BO
     """
     t = col(text)
     rx = f"(?i){pattern}"
-    hits = F.regexp_extract_all(t, F.lit(rx), F.lit(0))
-    pieces = F.split(t, rx, -1)
-    start = F.lit(0).cast("int")
-    # Fold over the hits with the offset so far and the windows seen.
-    state = F.aggregate(
-        F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("gap"),
-                                                  F.get(hits, i).alias("hit"))),
-        F.struct(start.alias("pos"), F.array().cast("array<double>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"),
-            F.when(x["hit"].isNull(), acc["found"]).otherwise(
-                F.concat(acc["found"], _numbers(
-                    F.substring(t, F.greatest(acc["pos"] + x["gap"] - chars, F.lit(0)) + 1,
-                                F.least(acc["pos"] + x["gap"], F.lit(chars)) + F.length(x["hit"]) + chars),
-                    bounds))).alias("found")),
-        lambda acc: acc["found"])
-    return F.array_min(state)
+
+    def scan(hits):
+        # Fold over the hits with the offset so far and the windows seen.
+        gaps = F.transform(F.split(t, rx, -1), lambda p, i: F.struct(
+            F.length(p).alias("gap"), F.get(hits, i).alias("hit")))
+
+        def step(acc, x):
+            start = acc["pos"] + x["gap"]
+            window = F.substring(t, F.greatest(start - chars, F.lit(0)) + 1,
+                                 F.least(start, F.lit(chars)) + F.length(x["hit"]) + chars)
+            return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"),
+                            F.when(x["hit"].isNull(), acc["found"])
+                            .otherwise(F.concat(acc["found"], _numbers(window, bounds))).alias("found"))
+
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<double>").alias("found"))
+        return F.aggregate(gaps, begin, step, lambda acc: F.array_min(acc["found"]))
+
+    return let(F.regexp_extract_all(t, F.lit(rx), F.lit(0)), scan)
 
 
 def free_trial(text) -> Column:
@@ -82,18 +83,26 @@ def free_trial(text) -> Column:
 
 def amount_fallback(found, price_page) -> Column:
     """Classify sorted distinct amounts by range; nulls off price pages."""
-    values = F.filter(F.array_sort(F.array_distinct(col(found))), lambda a: (a >= 10) & (a <= 500))
-    ok = col(price_page) & (F.size(values) >= 2)
-    single = F.get(F.filter(values, lambda a: (a >= 15) & (a <= 55)), F.lit(0))
-    tens = F.filter(values, lambda a: (a >= 140) & (a <= 450))
-    near = F.filter(tens, lambda t: (t >= 6 * single) & (t <= 13 * single))
-    ten = F.when(single.isNotNull(), F.get(near, F.lit(0))).otherwise(F.get(tens, F.lit(0)))
-    months = F.filter(values, lambda a: (a >= 80) & (a <= 400)
-                      & (a > F.coalesce(single, F.lit(0.0)))
-                      & (ten.isNull() | (a != ten)))
-    month = F.when((F.size(values) >= 3) & (F.size(months) > 0), F.element_at(months, -1))
-    return F.struct(F.when(ok, single).alias("single"), F.when(ok, ten).alias("card_10"),
-                    F.when(ok, month).alias("monthly"))
+    sorted_values = F.filter(F.array_sort(F.array_distinct(col(found))), lambda a: (a >= 10) & (a <= 500))
+
+    def tens(values, single):
+        near = F.filter(values, lambda t: (t >= 140) & (t <= 450)
+                        & (single.isNull() | ((t >= 6 * single) & (t <= 13 * single))))
+        return F.get(near, F.lit(0))
+
+    def months(values, single, ten):
+        kept = F.filter(values, lambda a: (a >= 80) & (a <= 400) & (a > F.coalesce(single, F.lit(0.0)))
+                        & (ten.isNull() | (a != ten)))
+        return F.when((F.size(values) >= 3) & (F.size(kept) > 0), F.element_at(kept, -1))
+
+    def classify(values):
+        ok = col(price_page) & (F.size(values) >= 2)
+        first = F.get(F.filter(values, lambda a: (a >= 15) & (a <= 55)), F.lit(0))
+        return let(first, lambda single: let(tens(values, single), lambda ten: F.struct(
+            F.when(ok, single).alias("single"), F.when(ok, ten).alias("card_10"),
+            F.when(ok, months(values, single, ten)).alias("monthly"))))
+
+    return let(sorted_values, classify)
 
 
 def pct_change(old, new) -> Column:

@@ -12,6 +12,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside a lambda every mention of an outer expression is evaluated again for
+    each element; a one-element transform binds it to a variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def minutes(c, strict: bool = False) -> Column:
     """``H:MM`` / ``HH:MM`` to minutes; null when it is not a clock time.
 
@@ -63,11 +72,10 @@ def day_normalize(c, lang: str | None = None) -> Column:
     "Domino" is no day. Two-letter forms count only when the language is known.
     """
     langs = [lang] if lang in DAY_SHORT else []
-    lookup = _day_map(langs)
-    tokens = F.filter(F.split(F.lower(F.trim(col(c))), r"[^\p{L}]+"), lambda t: t != "")
-    days = F.transform(tokens, lambda t: F.coalesce(
-        F.try_element_at(lookup, t), F.try_element_at(lookup, F.regexp_replace(t, "s$", ""))))
-    return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
+    words = [w for ws in DAY_WORDS.values() for w in ws] + [w for x in langs for w in DAY_SHORT[x]]
+    pattern = "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
+    found = F.regexp_extract(F.lower(col(c)), rf"(?<!\p{{L}})({pattern})s?(?!\p{{L}})", 1)
+    return F.try_element_at(_day_map(langs), found)
 
 
 def day_word_regex(min_length: int = 3) -> str:
