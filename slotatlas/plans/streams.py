@@ -1 +1,63 @@
+"""Streaming jobs over the given tables; their results equal batch SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slotatlas.plans.registry import query
+from slotatlas.plans.sets import year_orders, year_sql
+from slotatlas.plans.standins import table
+from slotatlas.session import run_dir
+from slotatlas.streaming import jobs
+
+
+def events_stream(spark, sf):
+    return jobs.file_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema)
+
+
+@query("stm_value_change",
+       "SELECT user_id, event_type, event_id, old_value, value AS new_value, CASE WHEN pct > 50 THEN 'high' WHEN pct > 20 THEN 'medium' END AS severity FROM ("
+       "SELECT *, abs(value - old_value) / old_value * 100 AS pct FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value FROM events)) "
+       "WHERE old_value IS NOT NULL AND old_value <> value")
+def stm_value_change(spark, sf):
+    path = run_dir(spark, "value-change")
+    jobs.value_change_stream(events_stream(spark, sf), path, ["user_id", "event_type"], "ts", "event_id", "value").awaitTermination()
+    return jobs.read_batches(spark, f"{path}/changes").select("user_id", "event_type", "event_id", "old_value", "new_value", "severity")
+
+
+@query("stm_upsert_crawl", f"""
+WITH old AS ({year_sql(1996)}), crawl AS ({year_sql(1997)}), found AS (SELECT * FROM crawl WHERE source NOT LIKE '5%'), att AS (SELECT DISTINCT owner FROM crawl)
+SELECT owner, class_id, CASE WHEN owner IN (SELECT owner FROM att) THEN '2026-01-01' ELSE last_checked END AS last_checked,
+  CASE WHEN owner IN (SELECT owner FROM att) THEN false ELSE verified END AS verified, source FROM old WHERE owner NOT IN (SELECT owner FROM found)
+UNION ALL SELECT owner, class_id, last_checked, verified, source FROM found""")
+def stm_upsert_crawl(spark, sf):
+    path = run_dir(spark, "upsert")
+    jobs.write_version(year_orders(spark, sf, 1996), f"{path}/table", "owner", 0, 64)
+    lo, hi = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (1997, 1998))
+    crawl = jobs.file_stream(spark, sf, "orders.parquet", table(spark, sf, "orders").schema) \
+        .filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).select(
+            F.col("o_custkey").alias("owner"), F.when(~F.startswith("o_orderpriority", F.lit("5")), F.col("o_orderkey")).alias("class_id"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_checked"), (F.col("o_orderstatus") == "F").alias("verified"),
+            F.col("o_orderpriority").alias("source"))
+    jobs.upsert_stream(crawl, path, "owner", "class_id", "2026-01-01").awaitTermination()
+    return jobs.current_table(spark, f"{path}/table").select("owner", "class_id", "last_checked", "verified", "source")
+
+
+@query("stm_run_summary", """
+SELECT strftime(w, '%Y-%m-%d') AS day, event_type, count(*) AS attempted, count(*) FILTER (value > 20) AS success,
+  CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (value > 20), 0) AS BIGINT) AS new_rows
+FROM (SELECT *, date_trunc('day', ts) AS w FROM events) WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY w, event_type""")
+def stm_run_summary(spark, sf):
+    path = run_dir(spark, "summary")
+    s = jobs.summary(events_stream(spark, sf), "ts", "event_type", F.col("value") > 20, F.floor("value"))
+    jobs.summary_stream(s, path).awaitTermination()
+    out = spark.read.parquet(f"{path}/summary")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "attempted", "success", "new_rows")
+
+
+@query("ag_run_summary", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS attempted, count(*) FILTER (value > 20) AS success,
+  CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (value > 20), 0) AS BIGINT) AS new_rows FROM events GROUP BY 1, 2""")
+def ag_run_summary(spark, sf):
+    s = jobs.summary(table(spark, sf, "events"), "ts", "event_type", F.col("value") > 20, F.floor("value"))
+    return s.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "attempted", "success", "new_rows")
