@@ -8,7 +8,6 @@ from slotatlas import rules as R
 from slotatlas.functions import price, urls
 from slotatlas.functions.text import strip_tags
 from slotatlas.operators import extract as X
-from slotatlas.plans import sqltext as Q
 from slotatlas.plans.fixtures import FILLER, N, PRICE_SQL, price_pages, slot_pages, slots_sql
 from slotatlas.plans.registry import query
 from slotatlas.plans.standins import table

@@ -8,7 +8,7 @@ from slotatlas import rules as R
 from slotatlas.operators import facets, joins
 from slotatlas.plans import sqltext as Q
 from slotatlas.plans.registry import query
-from slotatlas.plans.standins import (BASE_SQL, places, places_base, slots, table, with_base, with_base_slots,
+from slotatlas.plans.standins import (BASE_SQL, places, places_base, slots, table, with_base_slots,
                                       with_both, with_places)
 
 ACTIVE = "coalesce(active, true)"

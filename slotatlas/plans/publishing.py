@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotatlas import schemas
-from slotatlas.functions.price import change_severity
-from slotatlas.operators import cleaning, facets, joins, publish, ranking, stats
+from slotatlas.operators import joins, publish, ranking, stats
 from slotatlas.plans.joins import CROSS_SQL, PAIRS_SQL, STYLE_CITY_SQL, _roots_sql, snapshot, style_city_rows
 from slotatlas.plans.quality import ALL_SQL, all_findings
 from slotatlas.plans import sqltext as Q
-from slotatlas.plans.filters import crawl_log
 from slotatlas.plans.registry import query
 from slotatlas.plans.standins import (PLACES_SQL, places, places_base, slots, table, with_base, with_base_slots, with_both,
-                                      with_places, with_slots)
+                                      with_places)
 from slotatlas.session import run_dir
 from slotatlas.sources import readers, writers
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slotatlas.functions import price
 from slotatlas.operators import reconcile
 from slotatlas.plans.filters import VALID_SQL
 from slotatlas.plans.joins import snap_sql, snapshot
 from slotatlas.plans.registry import query
-from slotatlas.plans.standins import places, places_base, slots, table, with_base, with_places, with_slots
+from slotatlas.plans.standins import places, places_base, slots, table, with_base, with_slots
 
 
 @query("st_union_files",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotatlas import rules as R
 from slotatlas.functions import urls
 from slotatlas.operators import facets, ranking, stats
-from slotatlas.plans.filters import CRAWL, HEALTH_SQL, crawl_log
+from slotatlas.plans.filters import HEALTH_SQL, crawl_log
 from slotatlas.plans.registry import query
 from slotatlas.plans.standins import (places, places_base, slots, table, with_base, with_base_slots, with_both,
                                       with_places, with_slots)

@@ -1,6 +1,4 @@
-"""Schemas of the directory data model."""
-
-from pyspark.sql.types import StructType
+"""Schemas of the directory data model, as DDL texts (usable before a session exists)."""
 
 ADDRESS = "STRUCT<street:STRING,zip:STRING,city:STRING,label:STRING>"
 PRICING = ("STRUCT<single:DOUBLE,card_10:DOUBLE,monthly:DOUBLE,trial:DOUBLE,abo:DOUBLE,"
@@ -40,15 +38,14 @@ def _split_top(fields: str) -> list[str]:
     return out + [cur]
 
 
-PLACE_ENVELOPE = StructType.fromDDL(
-    f"last_updated STRING, studios ARRAY<{_struct(PLACE_FIELDS)}>")
-SLOT_ENVELOPE = StructType.fromDDL(
+PLACE_ENVELOPE = f"last_updated STRING, studios ARRAY<{_struct(PLACE_FIELDS)}>"
+SLOT_ENVELOPE = (
     "last_updated STRING, _notes STRING, _meta STRUCT<last_updated:STRING,note:STRING>, "
     f"classes ARRAY<{_struct(SLOT_FIELDS)}>")
-DIMENSION_ENVELOPE = StructType.fromDDL(
+DIMENSION_ENVELOPE = (
     "cantons ARRAY<STRUCT<id:STRING,name:STRUCT<de:STRING,en:STRING,it:STRING,fr:STRING>,"
     "abbreviation:STRING,capital:STRING,studio_count:INT,status:STRING>>")
-CHANGE = StructType.fromDDL(
+CHANGE = (
     "timestamp STRING, studio_id STRING, canton STRING, field STRING, old_value DOUBLE, "
     "new_value DOUBLE, source STRING")
 FINDING_COLUMNS = ["type", "severity", "entity_id", "entity_name", "part", "field",

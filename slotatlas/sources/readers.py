@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from slotatlas import schemas
 from slotatlas.functions.timefn import col, let
 from slotatlas.operators.joins import alias_key
 
 
-def read_envelopes(spark: SparkSession, path: str, schema: StructType, array_col: str, part_col: str = "part",
+def read_envelopes(spark: SparkSession, path: str, schema: str, array_col: str, part_col: str = "part",
                    part_pattern: str = r"_([^_/.]+)\.json$", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Envelope files to record rows, and the rows that are not readable.
 
@@ -20,12 +19,11 @@ def read_envelopes(spark: SparkSession, path: str, schema: StructType, array_col
     are skipped. A malformed document goes to the second DataFrame, with its
     file, and the run goes on.
     """
-    full = StructType(schema.fields + [StructField("_corrupt_record", StringType())])
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("multiLine", multi_line) \
+    raw = spark.read.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE").option("multiLine", multi_line) \
         .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path) \
         .withColumn("_file", F.col("_metadata.file_path"))
     raw = raw.filter(~F.contains("_file", F.lit(".enc.")))
-    envelope = [f.name for f in schema.fields if f.name != array_col]
+    envelope = [c for c in raw.columns if c not in (array_col, "_corrupt_record", "_file")]
     rows = raw.filter(F.col(array_col).isNotNull()).select(
         F.regexp_extract("_file", part_pattern, 1).alias(part_col),
         *[F.col(c).alias(f"envelope_{c.strip('_')}") for c in envelope], F.inline(array_col))

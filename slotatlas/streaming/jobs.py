@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from slotatlas.functions.price import change_severity, pct_change, signed_pct
 from slotatlas.operators import segmented
-from slotatlas.rules import CHANGE_PCT
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
