@@ -29,44 +29,52 @@ def pricing_struct(fields: dict[str, Column], source, currency: str = "CHF") ->
                     F.nullif(col(source), F.lit("")).alias("source"))
 
 
+def _lower_words(pattern: str) -> str:
+    """The pattern for lower-case text; its escapes are lower case already."""
+    return pattern.lower()
+
+
+_HIT, _END = "\x01", "\x02"  # marks that page text does not hold
+
+
 def _numbers(text: Column, bounds) -> Column:
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(1))
-                       for p in R.AMOUNT_PATTERNS])
+    """Amounts of a text in lower case, pattern by pattern."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(_lower_words(p)), F.lit(1)) for p in R.AMOUNT_PATTERNS])
     values = F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit(".")).try_cast("double"))
     return F.filter(values, lambda v: (v >= bounds[0]) & (v <= bounds[1]))
 
 
 def amounts(text) -> Column:
     """All currency amounts of a text in the seven notations."""
-    return _numbers(col(text), R.AMOUNT_BOUNDS)
+    return let(F.lower(col(text)), lambda t: F.when(t.rlike(r"\d"), _numbers(t, R.AMOUNT_BOUNDS)).otherwise(
+        F.array().cast("array<double>")))
 
 
 def near_keyword(text, pattern: str, chars: int = R.NEAR_CHARS, bounds=R.NEAR_BOUNDS) -> Column:
     """Lowest amount within ``chars`` of any hit of the keyword pattern.
 
-    Hits and the pieces between them come from one regex each; running lengths
-    give the hit offsets, so overlapping windows need no UDF.
+    One pass marks the hits; cutting at the marks gives them and the text
+    between, and running lengths give the offsets. Overlapping windows need no
+    UDF. The text is searched in lower case, which plain patterns match faster.
     """
-    t = col(text)
-    rx = f"(?i){pattern}"
-
-    def scan(hits):
-        # Fold over the hits with the offset so far and the windows seen.
-        gaps = F.transform(F.split(t, rx, -1), lambda p, i: F.struct(
-            F.length(p).alias("gap"), F.get(hits, i).alias("hit")))
-
-        def step(acc, x):
-            start = acc["pos"] + x["gap"]
-            window = F.substring(t, F.greatest(start - chars, F.lit(0)) + 1,
-                                 F.least(start, F.lit(chars)) + F.length(x["hit"]) + chars)
-            return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"),
-                            F.when(x["hit"].isNull(), acc["found"])
-                            .otherwise(F.concat(acc["found"], _numbers(window, bounds))).alias("found"))
-
-        begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<double>").alias("found"))
-        return F.aggregate(gaps, begin, step, lambda acc: F.array_min(acc["found"]))
-
-    return let(F.regexp_extract_all(t, F.lit(rx), F.lit(0)), scan)
+    def scan(t):
+        marked = F.regexp_replace(t, f"({pattern.lower()})", f"{_HIT}$1{_END}")
+
+        def step(acc, part):
+            # part = hit, mark, gap (the first one is only a gap)
+            hit, gap = F.split_part(part, F.lit(_END), F.lit(1)), F.split_part(part, F.lit(_END), F.lit(-1))
+            window = F.substring(t, F.greatest(acc["pos"] - chars, F.lit(0)) + 1,
+                                 F.least(acc["pos"], F.lit(chars)) + F.length(hit) + chars)
+            return F.struct((acc["pos"] + F.length(hit) + F.length(gap)).alias("pos"),
+                            F.concat(acc["found"], _numbers(window, bounds)).alias("found"))
+
+        def fold(parts):
+            begin = F.struct(F.length(F.get(parts, F.lit(0))).alias("pos"), F.array().cast("array<double>").alias("found"))
+            return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step, lambda acc: F.array_min(acc["found"]))
+
+        return let(F.split(marked, _HIT, -1), lambda parts: F.when(F.size(parts) > 1, fold(parts)))
+
+    return let(F.lower(col(text)), scan)
 
 
 def free_trial(text) -> Column:

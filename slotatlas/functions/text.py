@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slotatlas.functions.timefn import col
+from slotatlas.functions.timefn import col, let
 from slotatlas.rules import SLUG_PREFIX, SLUG_SUFFIXES
 
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -19,7 +19,8 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 def unescape(c) -> Column:
     """The entities that occur in page text; ``&amp;`` last, so nothing is decoded twice."""
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, col(c))
+    return let(col(c), lambda t: F.when(~F.contains(t, F.lit("&")), t).otherwise(
+        reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, t)))
 
 
 def squash(c) -> Column:

@@ -29,12 +29,13 @@ def class_row(name, teacher, default: str = "Class", level: str = "all") -> list
 
 def slot(day, start, end, name, teacher=None) -> Column:
     """Slot struct; null when there is no day, start or name."""
-    name = F.coalesce(name, F.lit(""))
-    ok = day.isNotNull() & (F.coalesce(start, F.lit("")) != "") & (name != "")
-    return F.when(ok, F.struct(
-        day.alias("day"), start.alias("time_start"), F.coalesce(end if end is not None else F.lit(""), F.lit("")).alias("time_end"),
-        F.substring(name, 1, 100).alias("class_name"),
-        F.coalesce(teacher if teacher is not None else F.lit(""), F.lit("")).alias("teacher")))
+    made = F.struct(
+        day.alias("day"), start.alias("time_start"),
+        F.coalesce(end if end is not None else F.lit(""), F.lit("")).alias("time_end"),
+        F.substring(F.coalesce(name, F.lit("")), 1, 100).alias("class_name"),
+        F.coalesce(teacher if teacher is not None else F.lit(""), F.lit("")).alias("teacher"))
+    return let(made, lambda s: F.when(
+        s["day"].isNotNull() & (F.coalesce(s["time_start"], F.lit("")) != "") & (s["class_name"] != ""), s))
 
 
 def clean(slots: Column) -> Column:
@@ -108,16 +109,19 @@ def day_header_table_slots(html) -> Column:
 # --- headings, blocks, running text ----------------------------------------------
 
 def _named(text: Column, day: Column, single_ok: bool) -> Column:
-    start, end = _range(text)
-    name = class_name_clean(text)
-    teacher = F.trim(F.regexp_extract(name, r"(?i)\b(?:with|mit|avec|con)\s+([\p{L}\d_\s]+?)(?:\s*[,|]|$)", 1))
-    ranged = slot(day, start, end, name, teacher)
-    if not single_ok:
-        return ranged
-    one = F.regexp_replace(F.regexp_extract(text, H.CLOCK, 0), r"\.", ":")
-    rest = class_name_clean(F.regexp_replace(text, H.CLOCK, ""))
-    single = F.when((F.length(text) > 5) & (F.length(rest) > 2), slot(day, one, None, rest))
-    return F.when(start.isNotNull(), ranged).otherwise(single)
+    """Slot of one text block: a range, or (``single_ok``) a single clock and a name."""
+    def ranged():
+        start, end = _range(text)
+        return let(class_name_clean(text), lambda name: slot(day, start, end, name, F.trim(F.regexp_extract(
+            name, r"(?i)\b(?:with|mit|avec|con)\s+([\p{L}\d_\s]+?)(?:\s*[,|]|$)", 1))))
+
+    def single():
+        one = F.regexp_replace(F.regexp_extract(text, H.CLOCK, 0), r"\.", ":")
+        return F.when((F.length(text) > 5) & text.rlike(H.CLOCK), let(
+            class_name_clean(F.regexp_replace(text, H.CLOCK, "")),
+            lambda rest: F.when(F.length(rest) > 2, slot(day, one, None, rest))))
+
+    return F.when(text.rlike(H.RANGE), ranged()).otherwise(single()) if single_ok else F.when(text.rlike(H.RANGE), ranged())
 
 
 def heading_slots(html, single_ok: bool = True) -> Column:
@@ -145,7 +149,7 @@ def inline_slots(html) -> Column:
     def hit(t):
         start, end = _range(t)
         name = strip_edges(F.regexp_replace(t, rf"(?i)^.*?{H.CLOCK}\s*[-–—]\s*{H.CLOCK}\s*(?:Uhr|h\b)?\s*", ""))
-        return F.when(F.length(name) > 1, slot(day_normalize(t), start, end, name))
+        return let(name, lambda n: F.when(F.length(n) > 1, slot(day_normalize(t), start, end, n)))
     return F.transform(hits, hit)
 
 
@@ -183,20 +187,29 @@ def line_slots(text) -> Column:
 
     def emit(all_lines, day):
         def line(x, i):
-            start = pad_clock(F.regexp_extract(x, r"(\d{1,2}[.:h]\d{2})\s*[-–—]\s*\d{1,2}[.:h]\d{2}", 1))
-            end = pad_clock(F.regexp_extract(x, r"\d{1,2}[.:h]\d{2}\s*[-–—]\s*(\d{1,2}[.:h]\d{2})", 1))
-            before = strip_edges(F.regexp_extract(x, rf"^(.*?){span}", 1), r"\s\-–—|:")
-            after = strip_edges(F.regexp_extract(x, rf"{span}(.*)$", 1), r"\s\-–—|:")
-            own = F.when(F.length(before) > 2, before).when(F.length(after) > 2, after)
-            prev, nxt = F.when(i > 1, F.get(all_lines, i - 1)), F.get(all_lines, i + 1)
-            name = F.coalesce(own, F.when(usable(prev, 100), prev), F.when(usable(nxt, 100), nxt))
-            teacher = F.coalesce(F.when((F.length(before) > 2) & (F.length(after) > 2), after),
-                                 F.when(usable(nxt, 60) & (nxt != name) & day_normalize(nxt).isNull(), nxt))
-            single = F.regexp_extract(x, r"\d{1,2}[.:h]\d{2}", 0)
-            rest = strip_edges(F.regexp_replace(x, r"\d{1,2}[.:h]\d{2}", ""), r"\s\-–—|:")
-            lone = F.when((single != "") & x.rlike(f"(?i){R.LINE_TOPICS}") & (F.length(rest) > 2),
-                          slot(day, pad_clock(single), None, rest))
-            return F.when(x.rlike(span), slot(day, start, end, name, teacher)).otherwise(lone)
+            def ranged():
+                start = pad_clock(F.regexp_extract(x, r"(\d{1,2}[.:h]\d{2})\s*[-–—]\s*\d{1,2}[.:h]\d{2}", 1))
+                end = pad_clock(F.regexp_extract(x, r"\d{1,2}[.:h]\d{2}\s*[-–—]\s*(\d{1,2}[.:h]\d{2})", 1))
+                around = F.struct(
+                    strip_edges(F.regexp_extract(x, rf"^(.*?){span}", 1), r"\s\-–—|:").alias("before"),
+                    strip_edges(F.regexp_extract(x, rf"{span}(.*)$", 1), r"\s\-–—|:").alias("after"),
+                    F.when(i > 1, F.get(all_lines, i - 1)).alias("prev"), F.get(all_lines, i + 1).alias("next"))
+
+                def named(a):
+                    has_before, has_after = F.length(a["before"]) > 2, F.length(a["after"]) > 2
+                    name = F.coalesce(F.when(has_before, a["before"]).when(has_after, a["after"]),
+                                      F.when(usable(a["prev"], 100), a["prev"]), F.when(usable(a["next"], 100), a["next"]))
+                    return let(name, lambda n: slot(day, start, end, n, F.coalesce(
+                        F.when(has_before & has_after, a["after"]),
+                        F.when(usable(a["next"], 60) & (a["next"] != n) & day_normalize(a["next"]).isNull(), a["next"]))))
+                return let(around, named)
+
+            def lone():
+                single = F.regexp_extract(x, r"\d{1,2}[.:h]\d{2}", 0)
+                rest = strip_edges(F.regexp_replace(x, r"\d{1,2}[.:h]\d{2}", ""), r"\s\-–—|:")
+                return F.when(x.rlike(r"\d{1,2}[.:h]\d{2}") & x.rlike(f"(?i){R.LINE_TOPICS}"), let(
+                    rest, lambda r: F.when(F.length(r) > 2, slot(day, pad_clock(single), None, r))))
+            return F.when(x.rlike(span), ranged()).otherwise(lone())
         return F.transform(all_lines, line)
 
     return F.flatten(F.transform(pieces, piece))

@@ -93,12 +93,17 @@ def place_rules() -> dict[str, list[Rule]]:
 
 
 def slot_guards() -> tuple[Column, Column, Column]:
-    """Guard columns: both clocks parse, and the end lies after the start."""
-    start, end = minutes("time_start"), minutes("time_end")
+    """Guard columns over :func:`with_clocks`: start, end, and whether both parse."""
+    start, end = F.col("_start"), F.col("_end")
     parsed = start.isNotNull() & end.isNotNull()
     return start, end, parsed
 
 
+def with_clocks(slots: DataFrame) -> DataFrame:
+    """Start and end in minutes, parsed once for all rules."""
+    return slots.withColumns({"_start": minutes("time_start"), "_end": minutes("time_end")})
+
+
 def slot_rules() -> dict[str, list[Rule]]:
     """Rules of the slots. A bad clock ends the checks of a row, and so does a
     wrong order; the guards say so."""
@@ -127,7 +132,7 @@ def orphan_findings(slots: DataFrame, parents: DataFrame, key: str, count_all: b
     Only slots that passed the clock guards count, unless ``count_all``.
     """
     start, end, parsed = slot_guards()
-    rows = slots if count_all else slots.filter(F.coalesce(parsed & (end > start), F.lit(False)))
+    rows = slots if count_all else with_clocks(slots).filter(F.coalesce(parsed & (end > start), F.lit(False)))
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     missing = counts.join(parents.select(F.col("id").alias(key)), key, "left_anti")
     rule = Rule("orphan_slot", "high", F.lit(True), "place_id", F.col("n"))

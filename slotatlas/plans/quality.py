@@ -83,7 +83,7 @@ def place_findings(df, keys):
 
 def slot_findings(df, keys):
     rules = quality.slot_rules()
-    return quality.run_rules(df, [r for k in keys for r in rules[k]],
+    return quality.run_rules(quality.with_clocks(df), [r for k in keys for r in rules[k]],
                              {"entity_id": F.col("place_id").cast("string"), "row_key": F.col("class_id").cast("string")}).select(*COLUMNS)
 
 

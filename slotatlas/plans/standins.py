@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotatlas.session import spread
+
 # (name, expression); {arr}/{end} open and close an array, {st}/{en} a struct.
 BASE_COLUMNS = [
     ("id", "c_custkey"),
@@ -157,8 +159,8 @@ _DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Su
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly slots: one scan of orders, no shuffle."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    """Weekly slots: one scan of orders."""
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         *[f"{_slot_expr(e, True)} AS {k}" for k, e in SLOT_COLUMNS])
 
 
