@@ -32,7 +32,7 @@ SELECT owner, class_id, CASE WHEN owner IN (SELECT owner FROM att) THEN '2026-01
 UNION ALL SELECT owner, class_id, last_checked, verified, source FROM found""")
 def stm_upsert_crawl(spark, sf):
     path = run_dir(spark, "upsert")
-    jobs.write_version(year_orders(spark, sf, 1996), f"{path}/table", "owner", 0, 64)
+    jobs.write_version(year_orders(spark, sf, 1996), f"{path}/table", ["owner"], 0, 64)
     lo, hi = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (1997, 1998))
     crawl = jobs.file_stream(spark, sf, "orders.parquet", table(spark, sf, "orders").schema) \
         .filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).select(

@@ -1,8 +1,8 @@
 """Run-to-run state as Structured Streaming jobs.
 
-State lives in versioned tables below the job's folder, one version per batch
-id: a batch that is run again after a failure reads the same previous version
-and overwrites its own, so the result does not change.
+State lives in versioned tables below the job's folder on shared storage: a
+batch that is run again after a failure reads the same previous version and
+overwrites its own, so the result does not change.
 """
 
 from __future__ import annotations
@@ -23,11 +23,39 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, schema, files_
     return reader.parquet(folder)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+# --- versioned bucket tables --------------------------------------------------------
+#
+# Rows live in bucket=<hash of the key>/version=<n>. A batch reads and rewrites
+# only the buckets its keys fall into, so its cost follows the batch, not the
+# table. Version 0 is the seed; batch n writes version n + 1 and reads what was
+# there before it, which makes a repeated batch write the same rows again.
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_version(df: DataFrame, path: str, keys: list[str], version: int, buckets: int) -> None:
+    df.withColumns({"bucket": bucket_of(keys, buckets), "version": F.lit(version)}).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+
+
+def current_table(spark: SparkSession, path: str, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """Rows of the newest version of every bucket (older than ``before``, among ``touched``)."""
+    df = spark.read.option("basePath", path).parquet(path)
+    if before is not None:
+        df = df.filter(F.col("version") < before)
+    if touched is not None:
+        df = df.join(F.broadcast(touched), "bucket", "left_semi")  # at most one row per bucket
+    newest = df.groupBy("bucket").agg(F.max("version").alias("version"))
+    return df.join(F.broadcast(newest), ["bucket", "version"]).drop("bucket", "version")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # no such version yet
-        return None
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:  # nothing written yet
+        return False
 
 
 # --- value changes ----------------------------------------------------------------
@@ -61,16 +89,20 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
     return changes, new_state, late
 
 
-def value_change_stream(stream: DataFrame, path: str, keys: list[str], ts: str, tie: str, value: str, **trigger):
+def value_change_stream(stream: DataFrame, path: str, keys: list[str], ts: str, tie: str, value: str,
+                        buckets: int = 64, **trigger):
     """Remember the last value per key and write a change row for every new one."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = _read_or_none(spark, f"{path}/state/version={batch_id - 1}")
         batch.persist()
+        state = None
+        if _exists(spark, f"{path}/state"):
+            touched = batch.select(bucket_of(keys, buckets).alias("bucket")).distinct()
+            state = current_table(spark, f"{path}/state", batch_id + 1, touched)
         changes, new_state, late = batch_changes(batch, state, keys, ts, tie, value)
         changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
-        new_state.write.mode("overwrite").parquet(f"{path}/state/version={batch_id}")
+        write_version(new_state, f"{path}/state", keys, batch_id + 1, buckets)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint") \
@@ -79,20 +111,6 @@ def value_change_stream(stream: DataFrame, path: str, keys: list[str], ts: str,
 
 # --- crawl upserts ------------------------------------------------------------------
 
-def current_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest version of every bucket."""
-    df = spark.read.option("basePath", path).parquet(path)
-    newest = df.groupBy("bucket").agg(F.max("version").alias("version"))
-    return df.join(newest, ["bucket", "version"]).drop("bucket", "version")
-
-
-def write_version(df: DataFrame, path: str, owner: str, version: int, buckets: int) -> None:
-    """Write rows as one version of the buckets they fall into."""
-    bucket = F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int")
-    df.withColumns({"bucket": bucket, "version": F.lit(version)}).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
-
-
 def upsert_batch(old: DataFrame, batch: DataFrame, owner: str, row_key: str, today: str) -> DataFrame:
     """Owners with new rows: replaced. Owners that were tried in vain: rows kept, unverified.
 
@@ -110,16 +128,10 @@ def upsert_batch(old: DataFrame, batch: DataFrame, owner: str, row_key: str, tod
 def upsert_stream(stream: DataFrame, path: str, owner: str, row_key: str, today: str, buckets: int = 64, **trigger):
     """Apply crawl batches to the bucketed table; only touched buckets are rewritten."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch.persist()
-        df = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")
-        # Version 0 is the seed; batch n writes n + 1 and reads what was there before it.
-        df = df.filter(F.col("version") <= batch_id)
-        newest = df.groupBy("bucket").agg(F.max("version").alias("version"))
-        bucket = F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int")
-        touched = batch.select(bucket.alias("bucket")).distinct()
-        old = df.join(newest, ["bucket", "version"]).join(touched, "bucket", "left_semi").drop("bucket", "version")
-        write_version(upsert_batch(old, batch, owner, row_key, today), f"{path}/table", owner, batch_id + 1, buckets)
+        touched = batch.select(bucket_of([owner], buckets).alias("bucket")).distinct()
+        old = current_table(batch.sparkSession, f"{path}/table", batch_id + 1, touched)
+        write_version(upsert_batch(old, batch, owner, row_key, today), f"{path}/table", [owner], batch_id + 1, buckets)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint") \

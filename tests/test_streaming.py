@@ -54,7 +54,7 @@ def test_upsert_batch_replaces_and_demotes(spark):
 def test_upsert_stream_over_batches(spark, tmp_path):
     cols = "owner int, class_id int, verified boolean, last_checked string"
     src, path = str(tmp_path / "in"), str(tmp_path / "job")
-    jobs.write_version(spark.createDataFrame([(i, i * 10, True, "o") for i in range(20)], cols), f"{path}/table", "owner", 0, 4)
+    jobs.write_version(spark.createDataFrame([(i, i * 10, True, "o") for i in range(20)], cols), f"{path}/table", ["owner"], 0, 4)
     spark.createDataFrame([], cols).write.parquet(src)
     for day, batch in [("d1", [(1, 11, True, "d1"), (2, None, True, "d1")]), ("d2", [(1, 12, True, "d2"), (30, 300, True, "d2")])]:
         spark.createDataFrame(batch, cols).coalesce(1).write.mode("append").parquet(src)
