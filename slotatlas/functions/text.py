@@ -17,22 +17,29 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
             ("&agrave;", "à"), ("&amp;", "&")]
 
 
+def _decode(c: Column) -> Column:
+    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, c)
+
+
 def unescape(c) -> Column:
     """The entities that occur in page text; ``&amp;`` last, so nothing is decoded twice."""
-    return let(col(c), lambda t: F.when(~F.contains(t, F.lit("&")), t).otherwise(
-        reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, t)))
+    return let(col(c), lambda t: F.when(F.contains(t, F.lit("&")), _decode(t)).otherwise(t))
 
 
 def squash(c) -> Column:
     return F.trim(F.regexp_replace(col(c), r"[\s ]+", " "))
 
 
+def inner_text(c) -> Column:
+    """Tags and white space to single blanks, entities decoded."""
+    plain = F.trim(F.regexp_replace(col(c), r"(?:<[^>]+>|[\s\u00a0])+", " "))
+    return let(plain, lambda t: F.when(F.contains(t, F.lit("&")), squash(_decode(t))).otherwise(t))
+
+
 def strip_tags(c) -> Column:
     """Visible text: no script or style content, tags to spaces, entities decoded."""
     text = F.regexp_replace(col(c), r"(?is)<script[^>]*>.*?</script>", " ")
-    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " ")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    return squash(unescape(text))
+    return inner_text(F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " "))
 
 
 def rendered_text(c) -> Column:

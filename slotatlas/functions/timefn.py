@@ -18,7 +18,7 @@ def let(value: Column, body) -> Column:
     Inside a lambda every mention of an outer expression is evaluated again for
     each element; a one-element transform binds it to a variable instead.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def minutes(c, strict: bool = False) -> Column:

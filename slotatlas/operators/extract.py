@@ -55,7 +55,7 @@ def extract(pages: DataFrame, key: str, slots: Column) -> DataFrame:
 
 
 def _first(arr: Column, cond) -> Column:
-    return F.get(F.filter(arr, cond), F.lit(0))
+    return F.try_element_at(F.filter(arr, cond), F.lit(1))
 
 
 def _range(text: Column) -> tuple[Column, Column]:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slotatlas.functions.text import squash, unescape
+from slotatlas.functions.text import inner_text as cell_text
+from slotatlas.functions.text import unescape
 from slotatlas.functions.timefn import col, day_word_regex
 
 DAY = rf"(?<!\p{{L}})(?:{day_word_regex(3)})s?(?!\p{{L}})"
@@ -18,10 +19,6 @@ CLOCK = r"\d{1,2}[:.]\d{2}"
 RANGE = rf"({CLOCK})\s*[-–—]\s*({CLOCK})"
 
 
-def cell_text(c) -> Column:
-    return squash(unescape(F.regexp_replace(col(c), r"<[^>]+>", " ")))
-
-
 def found(c, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 

@@ -8,6 +8,7 @@ from slotatlas import rules as R
 from slotatlas.functions import price, urls
 from slotatlas.functions.text import strip_tags
 from slotatlas.operators import extract as X
+from slotatlas.plans import sqltext as Q
 from slotatlas.plans.fixtures import FILLER, N, PRICE_SQL, price_pages, slot_pages, slots_sql
 from slotatlas.plans.registry import query
 from slotatlas.plans.standins import table
@@ -155,7 +156,13 @@ def ex_sessions_json(spark, sf):
     return payload_slots(p, X.sessions_json("payload"))
 
 
-@query("ex_events_json", EVENTS_SQL.format(m="CASE event_id % 4 WHEN 3 THEN 60 ELSE " + MINS + " END", t="CASE event_id % 4 WHEN 2 THEN concat('Staff ', user_id) ELSE '' END"))
+_EV_MIN = "hour(ts) * 60 + minute(ts) + CASE event_id % 4 WHEN 3 THEN 60 ELSE " + MINS + " END"
+
+
+# A given end is a clock reading; start + duration runs past 24:00.
+@query("ex_events_json",
+       "SELECT event_id AS page_id, dayname(ts) AS day, strftime(ts, '%H:%M') AS time_start, CASE WHEN event_id % 4 IN (1, 2) THEN strftime(ts + to_minutes(CAST(" + MINS + " AS BIGINT)), '%H:%M') "
+       "ELSE " + Q.sql_clock(_EV_MIN) + " END AS time_end, event_type AS class_name, CASE event_id % 4 WHEN 2 THEN concat('Staff ', user_id) ELSE '' END AS teacher FROM events")
 def ex_events_json(spark, sf):
     iso, stop = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("stop", "yyyy-MM-dd'T'HH:mm:ss")
     name, k = F.col("event_type"), F.col("event_id") % 4
@@ -164,10 +171,8 @@ def ex_events_json(spark, sf):
     c = F.to_json(F.struct(F.array(F.struct(name.alias("ClassName"), iso.alias("StartDateTime"), F.date_format("stop", "HH:mm").alias("EndTime"),
                                             F.concat(F.lit("Staff "), F.col("user_id").cast("string")).alias("StaffName"))).alias("Classes")))
     d = F.to_json(F.struct(F.array(F.struct(name.alias("name"), iso.alias("date_start"))).alias("results")))
-    # End clocks of the aliases wrap at midnight; start + duration does not, so it is folded back for comparison.
     p = ev(spark, sf).select(F.col("event_id").alias("page_id"), F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(d).alias("payload"))
-    out = payload_slots(p, X.events_json("payload"))
-    return out.withColumn("time_end", F.when(F.startswith("time_end", F.lit("24")), F.regexp_replace("time_end", "^24", "00")).otherwise(F.col("time_end")))
+    return payload_slots(p, X.events_json("payload"))
 
 
 @query("ex_graphql_nodes", EVENTS_SQL.format(m=MINS, t="concat('Staff ', user_id)") + " WHERE event_type <> 'error'")

@@ -142,8 +142,8 @@ def so_status_rank(spark, sf):
         .limit(400).select("id", "status", "part")
 
 
-@query("so_nearest", "SELECT id, floor(km * 10 + 0.5e0) / 10 AS km FROM (SELECT id, sqrt((x - 0.02e0) * (x - 0.02e0) + (y - 0.03e0) * (y - 0.03e0)) * 111 AS km FROM ("
-       + POINTS_SQL + ") WHERE x <> 0 AND y <> 0) ORDER BY km, id LIMIT 25")
+@query("so_nearest", "SELECT id, floor(d * 10 + 0.5e0) / 10 AS km FROM (SELECT id, sqrt((x - 0.02e0) * (x - 0.02e0) + (y - 0.03e0) * (y - 0.03e0)) * 111 AS d FROM ("
+       + POINTS_SQL + ") WHERE x <> 0 AND y <> 0) ORDER BY d, id LIMIT 25")
 def so_nearest(spark, sf):
     p = points(spark, sf).select("id", F.col("x").alias("lat"), F.col("y").alias("lng"))
     # Order by the exact distance, show it rounded.

@@ -17,7 +17,7 @@ def events_stream(spark, sf):
 
 @query("stm_value_change",
        "SELECT user_id, event_type, event_id, old_value, value AS new_value, CASE WHEN pct > 50 THEN 'high' WHEN pct > 20 THEN 'medium' END AS severity FROM ("
-       "SELECT *, abs(value - old_value) / old_value * 100 AS pct FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value FROM events)) "
+       "SELECT *, abs(value - old_value) / nullif(old_value, 0) * 100 AS pct FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value FROM events)) "
        "WHERE old_value IS NOT NULL AND old_value <> value")
 def stm_value_change(spark, sf):
     path = run_dir(spark, "value-change")
