@@ -236,14 +236,14 @@ def calendar_slots(html, teacher_mode: str = "second") -> Column:
         items = F.filter(H.cut_before(s, r"<li\b[^>]*calendar__slot"), lambda x: x.rlike(r"(?is)^<li\b[^>]*calendar__slot"))
 
         def item(x, above):
-            label = H.cell_text(F.regexp_extract(x, r"(?is)class=[\"']sr-only[^>]*>(.*?)</", 1))
+            label = H.cell_text(F.regexp_extract(x, r"(?s)class=.sr-only[^>]*>(.*?)</", 1))
             date = F.regexp_extract(label, r"(\d{2}/\d{2}/\d{4})", 1)
             day = F.coalesce(day_normalize(label), day_name(F.try_to_timestamp(date, F.lit("dd/MM/yyyy"))), above)
-            time = H.cell_text(F.regexp_extract(x, r"(?is)session-time[^>]*>(.*?)</", 1))
+            time = H.cell_text(F.regexp_extract(x, r"(?s)session-time[^>]*>(.*?)</", 1))
             start = F.regexp_extract(time, r"(\d{1,2}:\d{2})", 1)
             length = F.regexp_extract(time, r"(\d+)\s*[Mm]in", 1).try_cast("int")
-            name = H.cell_text(F.regexp_extract(x, r"(?is)session-name[^>]*>(.*?)</", 1))
-            marks = F.transform(H.found(x, r"(?is)class=[\"']ellipsis[^>]*>(.*?)</", 1), H.cell_text)
+            name = H.cell_text(F.regexp_extract(x, r"(?s)session-name[^>]*>(.*?)</", 1))
+            marks = F.transform(H.found(x, r"(?s)class=.ellipsis[^>]*>(.*?)</", 1), H.cell_text)
             if teacher_mode == "second":
                 teacher = F.coalesce(F.get(marks, F.lit(1)), F.get(marks, F.lit(0)))
             else:

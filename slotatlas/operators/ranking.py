@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotatlas.functions import geo
 from slotatlas.functions.timefn import col
+from slotatlas.operators.segmented import join_groups
 from slotatlas.session import reliable_checkpoint
 
 _PART_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
@@ -40,7 +41,7 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[Column], out:
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_slice", "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    joined = rows.join(offsets, [*group, "_slice"])
+    joined = join_groups(rows, offsets, [*group, "_slice"])
     return joined.select(*cols, (F.col("_offset") + F.col("_seq") - F.col("_first") + 1).alias(out))
 
 

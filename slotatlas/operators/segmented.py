@@ -15,34 +15,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _struct(order: list[str]) -> Column:
-    return F.struct(*order)
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the group of the keys. Nulls form a group like in a window or a
+    ``groupBy``; a struct key compares them as equal and is still hashed."""
+    return left.withColumn("_key", F.struct(*keys)).join(
+        right.withColumn("_key", F.struct(*keys)).drop(*keys), "_key", how).drop("_key")
 
 
-def _with_carry(df: DataFrame, keys: list[str], chunk: str, summary: DataFrame) -> DataFrame:
-    return df.join(summary, [*keys, chunk], "left")
+def _keyed(df: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+    return df.withColumn("_key", F.struct(*keys, chunk))
 
 
-def _local(keys, chunk, order):
-    return Window.partitionBy(*keys, chunk).orderBy(*order)
+def _local(order: list[str]):
+    return Window.partitionBy("_key").orderBy(*order)
 
 
-def _chunks(keys, chunk):
-    return Window.partitionBy(*keys).orderBy(chunk)
+def _chunks(keys: list[str], chunk: str):
+    return Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy(F.col(f"_key.{chunk}"))
+
+
+def _before(window):
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _upto(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: Column,
                   out: str) -> DataFrame:
     """Last non-null ``value`` up to and including the row."""
-    src = df.withColumn("_v", value)
-    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), _struct(order)))
-    summary = src.groupBy(*keys, chunk).agg(last.alias("_last"))
-    before = _chunks(keys, chunk).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(*keys, chunk, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    here = _local(keys, chunk, order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _with_carry(src, keys, chunk, summary)
-    return joined.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(here), F.col("_carry"))) \
-        .drop("_v", "_carry")
+    src = _keyed(df.withColumn("_v", value), keys, chunk)
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
+    summary = src.groupBy("_key").agg(last.alias("_last")).select(
+        "_key", F.last("_last", ignorenulls=True).over(_before(_chunks(keys, chunk))).alias("_carry"))
+    near = F.last("_v", ignorenulls=True).over(_upto(_local(order)))
+    return src.join(summary, "_key", "left").withColumn(out, F.coalesce(near, F.col("_carry"))) \
+        .drop("_v", "_carry", "_key")
 
 
 def lag(df: DataFrame, keys: list[str], order: list[str], chunk: str, columns: dict[str, str]) -> DataFrame:
@@ -56,24 +65,20 @@ def lead(df: DataFrame, keys: list[str], order: list[str], chunk: str, columns:
 
 
 def _shift(df, keys, order, chunk, columns, back):
-    row = F.struct(*columns)
-    edge = F.max_by(row, _struct(order)) if back else F.min_by(row, _struct(order))
-    summary = df.groupBy(*keys, chunk).agg(edge.alias("_edge"))
+    src, row = _keyed(df, keys, chunk), F.struct(*columns)
+    edge = F.max_by(row, F.struct(*order)) if back else F.min_by(row, F.struct(*order))
     step = F.lag if back else F.lead
-    summary = summary.select(*keys, chunk, step("_edge").over(_chunks(keys, chunk)).alias("_carry"))
-    joined = _with_carry(df, keys, chunk, summary)
-    near = step(row).over(_local(keys, chunk, order))
-    out = joined.withColumn("_row", F.coalesce(near, F.col("_carry")))
+    summary = src.groupBy("_key").agg(edge.alias("_edge")).select(
+        "_key", step("_edge").over(_chunks(keys, chunk)).alias("_carry"))
+    out = src.join(summary, "_key", "left").withColumn("_row", F.coalesce(step(row).over(_local(order)), F.col("_carry")))
     return out.select(*df.columns, *[F.col("_row")[c].alias(n) for c, n in columns.items()])
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: Column,
                 out: str) -> DataFrame:
     """Sum of ``value`` over all rows of the key up to and including the row."""
-    src = df.withColumn("_v", value)
-    summary = src.groupBy(*keys, chunk).agg(F.sum("_v").alias("_sum"))
-    before = _chunks(keys, chunk).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(*keys, chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
-    here = _local(keys, chunk, order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _with_carry(src, keys, chunk, summary)
-    return joined.withColumn(out, F.sum("_v").over(here) + F.col("_carry")).drop("_v", "_carry")
+    src = _keyed(df.withColumn("_v", value), keys, chunk)
+    summary = src.groupBy("_key").agg(F.sum("_v").alias("_sum")).select(
+        "_key", F.coalesce(F.sum("_sum").over(_before(_chunks(keys, chunk))), F.lit(0)).alias("_carry"))
+    return src.join(summary, "_key", "left") \
+        .withColumn(out, F.sum("_v").over(_upto(_local(order))) + F.col("_carry")).drop("_v", "_carry", "_key")

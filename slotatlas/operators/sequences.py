@@ -24,7 +24,7 @@ def until_miss_streak(df: DataFrame, keys: list[str], order: list[str], chunk: s
     src = segmented.carry_forward(src, keys, order, chunk, F.when(~F.col("_fail"), F.col("_rn")), "_ok_rn")
     streak = F.when(F.col("_fail"), F.col("_rn") - F.coalesce("_ok_rn", F.lit(0))).otherwise(F.lit(0))
     stops = src.groupBy(*keys).agg(F.min(F.when(streak >= limit, F.col("_rn"))).alias("_stop"))
-    return src.join(stops, keys).filter(F.col("_stop").isNull() | (F.col("_rn") <= F.col("_stop"))) \
+    return segmented.join_groups(src, stops, keys).filter(F.col("_stop").isNull() | (F.col("_rn") <= F.col("_stop"))) \
         .select(*df.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotatlas.functions.price import round_half_up
 from slotatlas.functions.timefn import col
+from slotatlas.operators.segmented import join_groups
 
 
 def partition_stats(places: DataFrame, slots: DataFrame, part: str = "part", key: str = "id") -> DataFrame:
@@ -72,7 +73,7 @@ def duplicates(df: DataFrame, keys: list[str], member: str) -> DataFrame:
 
 
 def duplicate_members(df: DataFrame, keys: list[str], member: str) -> DataFrame:
-    return df.select(*keys, member).distinct().join(duplicates(df, keys, member).select(*keys, "n_members"), keys)
+    return join_groups(df.select(*keys, member).distinct(), duplicates(df, keys, member).select(*keys, "n_members"), keys)
 
 
 def status_pivot(df: DataFrame, part: str, status: str, values: list[str]) -> DataFrame:

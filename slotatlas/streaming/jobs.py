@@ -73,7 +73,7 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
     if state is None:
         late, fresh = rows.limit(0), rows.withColumn("_new", F.lit(True))
     else:
-        marked = rows.join(state.select(*keys, F.col(ts).alias("_ts")), keys, "left")
+        marked = segmented.join_groups(rows, state.select(*keys, F.col(ts).alias("_ts")), keys, "left")
         is_late = F.coalesce(F.col(ts) <= F.col("_ts"), F.lit(False))
         late = marked.filter(is_late).select(*cols)
         fresh = marked.filter(~is_late).select(*cols).withColumn("_new", F.lit(True)) \

@@ -10,7 +10,7 @@ from slotatlas.operators import cleaning, facets, joins, quality, ranking, recon
 
 def skewed(spark, n=600):
     rng = random.Random(7)
-    rows = [(1 if rng.random() < 0.6 else rng.randint(2, 9), i, i // 25, rng.choice([None, "a", "b", "c"]), rng.randint(1, 9)) for i in range(n)]
+    rows = [(1 if rng.random() < 0.6 else rng.choice([None, 2, 3, 4, 5]), i, i // 25, rng.choice([None, "a", "b", "c"]), rng.randint(1, 9)) for i in range(n)]
     return spark.createDataFrame(rows, "k int, t int, chunk int, v string, x int")
 
 
@@ -149,8 +149,9 @@ def test_locale_sort(spark):
 
 
 def test_duplicates_keep_lowest_id(spark):
-    df = spark.createDataFrame([(5, "a"), (3, "a"), (3, "a"), (9, "b")], "id int, n string")
-    assert list(map(tuple, stats.duplicates(df, ["n"], "id").collect())) == [("a", 2, 3)]
+    df = spark.createDataFrame([(5, "a"), (3, "a"), (3, "a"), (9, "b"), (1, None), (2, None)], "id int, n string")
+    assert set(map(tuple, stats.duplicates(df, ["n"], "id").collect())) == {("a", 2, 3), (None, 2, 1)}
+    assert {(r["n"], r["id"]) for r in stats.duplicate_members(df, ["n"], "id").collect()} == {("a", 3), ("a", 5), (None, 1), (None, 2)}
 
 
 def test_merge_keeps_check_dates(spark):
