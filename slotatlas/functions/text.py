@@ -66,12 +66,16 @@ def class_name_clean(c) -> Column:
     return F.trim(text)
 
 
+GLUED_CLOCK = r"\d{1,2}:\d{2}[A-Za-zÄÖÜ]"
+CAMEL_HUMP = r"[a-zäöü][A-ZÄÖÜ][a-zäöü]"
+
+
 def has_glued_clock(c) -> Column:
-    return col(c).rlike(r"\d{1,2}:\d{2}[A-Za-zÄÖÜ]")
+    return col(c).rlike(GLUED_CLOCK)
 
 
 def has_camel_hump(c) -> Column:
-    return col(c).rlike(r"[a-zäöü][A-ZÄÖÜ][a-zäöü]")
+    return col(c).rlike(CAMEL_HUMP)
 
 
 def fold_accents(c) -> Column:

@@ -26,11 +26,12 @@ def minutes(c, strict: bool = False) -> Column:
 
     The default accepts any two-digit parts (``25:70``); ``strict`` does not.
     """
-    text = F.trim(col(c))
-    hour = F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 1).try_cast("int")
-    minute = F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", 2).try_cast("int")
-    value = hour * 60 + minute
-    return F.when((hour <= 23) & (minute <= 59), value) if strict else value
+    digits = F.split(F.regexp_extract(F.trim(col(c)), r"^(\d{1,2}:\d{2})$", 1), ":")
+    # The text is mentioned once, so a derived column behind it is computed once.
+    total = F.aggregate(digits, F.lit(0), lambda acc, x: acc * 60 + x.try_cast("int"))
+    if strict:
+        return F.when(F.trim(col(c)).rlike(r"^(?:[01]?\d|2[0-3]):[0-5]\d$"), total)
+    return total
 
 
 def duration(start, end) -> Column:

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotatlas import rules as R
-from slotatlas.functions.text import has_camel_hump, has_glued_clock
+from slotatlas.functions.text import CAMEL_HUMP, GLUED_CLOCK
 from slotatlas.functions.timefn import col, minutes
 
 
 def is_garbage(name="class_name", start="time_start", end="time_end") -> Column:
     """End not after start, a clock glued to a letter, or a long camelCase name."""
-    title = F.coalesce(col(name), F.lit(""))
-    return (F.coalesce(minutes(end) <= minutes(start), F.lit(False)) | has_glued_clock(title)
-            | ((F.length(title) > 40) & has_camel_hump(title)))
+    broken_name = col(name).rlike(rf"(?s){GLUED_CLOCK}|^(?=.{{41}}).*{CAMEL_HUMP}")
+    return F.coalesce(minutes(end) <= minutes(start), F.lit(False)) | F.coalesce(broken_name, F.lit(False))
 
 
 def null_impossible(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
