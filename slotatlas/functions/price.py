@@ -79,14 +79,18 @@ def near_keyword(text, pattern: str, chars: int = R.NEAR_CHARS, bounds=R.NEAR_BO
 
 def free_trial(text) -> Column:
     """A trial word and a free word in the same sentence, outside config noise."""
-    clean = F.regexp_replace(col(text), f"(?i){R.FREE_TRIAL_NOISE}", "")
     guard = "|".join(g.replace(".", r"\.") for g in R.FREE_TRIAL_GUARD)
 
-    def hit(p):
-        context = F.regexp_extract(clean, f"(?is)(.{{0,50}}(?:{p}).{{0,50}})", 1)
-        return clean.rlike(f"(?i){p}") & ~context.rlike(f"(?i){guard}")
+    def hit(t, p):
+        # 50 characters around the first hit, without a search that backs up at every position
+        def around(sides):
+            context = F.concat(F.right(F.get(sides, F.lit(0)), F.lit(50)), F.regexp_extract(t, p, 0),
+                               F.left(F.get(sides, F.lit(1)), F.lit(50)))
+            return ~context.rlike(guard)
+        return F.when(t.rlike(p), let(F.split(t, p, 2), around)).otherwise(F.lit(False))
 
-    return reduce(lambda a, b: a | b, [hit(p) for p in R.FREE_TRIAL_PATTERNS])
+    clean = F.regexp_replace(F.lower(col(text)), R.FREE_TRIAL_NOISE, "")
+    return let(clean, lambda t: reduce(lambda a, b: a | b, [hit(t, p) for p in R.FREE_TRIAL_PATTERNS]))
 
 
 def amount_fallback(found, price_page) -> Column:

@@ -129,8 +129,8 @@ def places_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices and tags per customer; every aggregate combines map-side."""
-    o = table(spark, sf_dir, "orders")
-    view = FOLD_SQL.format(sort="array_sort", distinct="collect_set(") + ""
+    o = spread(table(spark, sf_dir, "orders"))
+    view = FOLD_SQL.format(sort="array_sort", distinct="collect_set(")
     return spark.sql(view.replace("FROM orders", "FROM {orders}"), orders=o)
 
 
