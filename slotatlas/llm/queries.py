@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, packing
+from slotatlas.llm import bpe, packing, quality
 from slotatlas.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
+
+
 @query("op8_best_fit")
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
