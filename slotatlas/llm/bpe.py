@@ -44,7 +44,7 @@ def parts_of(text: str) -> list[str]:
 
 
 #: Entries a worker remembers before it starts anew. Has no influence on results.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Pre-tokens up to so many bytes are encoded side by side, longer ones one by one.
 SIDE_BY_SIDE = 64
 #: Output of about this size is handed to Spark at once.
@@ -82,7 +82,7 @@ class Vocabulary:
             self.halves[whole], self.rank[whole] = (left, right), rank
         self._spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self._pairs: dict[int, bool] = {}
-        self._build()
+        self._step = None
 
     def _build(self) -> None:
         """Trie of all tokens, completed by links to the longest proper suffix that is a path too.
@@ -153,6 +153,8 @@ class Vocabulary:
 
     def encode_bytes(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
+        if self._step is None:
+            self._build()
         last, at = [], 0
         for end, byte in enumerate(word):
             at = int(self._step[at, byte])
@@ -168,6 +170,8 @@ class Vocabulary:
 
     def encode_many(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of pre-tokens: the same steps, for the same position of all words at a time."""
+        if self._step is None:
+            self._build()
         short = [k for k, w in enumerate(words) if len(w) <= SIDE_BY_SIDE]
         short.sort(key=lambda k: -len(words[k]))
         packed = [b""] * len(words)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, packing, quality
+from slotatlas.llm import bpe, ngram_join, packing, quality
 from slotatlas.llm.common import table
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
+
+
 @query("op8_best_fit")
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
