@@ -1,12 +1,35 @@
-"""The training-data pipeline: stages that each apply one operator to what the one before kept."""
+"""The training-data pipeline: stages that each apply one operator to all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotatlas.llm import packing
+from slotatlas.llm import ngram_join, packing, quality, secrets
 from slotatlas.llm.common import materialize, table
 from slotatlas.llm.queries import RANKS, VOCAB
+from slotatlas.session import run_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor a learned rule rejects."""
+    return quality.judge(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(COLUMNS)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies: the one with the smallest id."""
+    joined = ngram_join.join(docs, n=5, threshold=0.8, recall=0.9999)
+    first = joined.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked; `n_chars` follows."""
+    scanned = secrets.scan(docs.select(COLUMNS), secrets.Ledger(spark, run_dir(spark, "ledger")))
+    masked = scanned.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +37,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, VOCAB, RANKS, capacity=1024, end_id=2)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", ngram_jaccard_join), ("secret_scan", secret_scan),
+          ("best_fit_packing", best_fit_packing)]
 #: SQL has neither the learned rules nor the tokenizer; the tests use a brute-force version.
 ORACLE_SQL = None
 

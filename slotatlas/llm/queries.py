@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, ngram_join, packing, quality
+from slotatlas.llm import bpe, ngram_join, packing, quality, secrets
 from slotatlas.llm.common import table
+from slotatlas.session import run_dir
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,6 +45,16 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
 
 
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.Ledger(spark, run_dir(spark, "ledger"))
+    scanned = secrets.scan(table(spark, sf_dir, "documents"), ledger, carry=["doc_id"])
+    base = F.filter("spans", lambda s: s["number"] < len(secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scanned.select("doc_id", *(count(rule.kind) for rule in secrets.BASE),
+                          F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
 @query("op8_best_fit")
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
