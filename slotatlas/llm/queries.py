@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, ngram_join, packing, quality, secrets
-from slotatlas.llm.common import table
+from slotatlas.llm import bpe, licenses, ngram_join, packing, quality, secrets, sharding, warc
+from slotatlas.llm.common import materialize, table
 from slotatlas.session import run_dir
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,7 +30,7 @@ def query(key: str, sql: str | None = None):
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, VOCAB), VOCAB)
+    both = bpe.encode(docs, VOCAB, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -45,6 +45,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
 
 
+@query("op6_slot_sharding")
+def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = materialize(sharding.measured(table(spark, sf_dir, "documents")), "measured")
+    size, rows = sharding.slot_totals(records)
+    store = sharding.SlotMap(spark, run_dir(spark, "slot_map"))
+    first = store.store(sharding.even_map(16), size)
+    version = store.store(sharding.rebalance(store.load(first), size, 16), size)
+    placed = sharding.place(records, store.load(version), rows)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 @query("op7_secret_scan")
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secrets.Ledger(spark, run_dir(spark, "ledger"))
@@ -59,3 +71,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, VOCAB, RANKS, capacity=1024, end_id=2)
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"), run_dir(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "url_key", "captured_at", "archive", "record_offset", "record_length")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -93,7 +93,8 @@ class Ledger:
         held = df.select(F.col(f"`{doc_id}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
         held = held.withColumn("blob", blob_of("text"))
         unseen = held.groupBy("blob").agg(F.min("doc").alias("doc")).join(self.read("seen"), "blob", "left_anti")
-        texts = held.join(unseen, (held["blob"] == unseen["blob"]) & held["doc"].eqNullSafe(unseen["doc"]), "left_semi")
+        chosen = unseen.select(F.col("blob").alias("of"), F.col("doc").alias("holder"))
+        texts = held.join(chosen, (F.col("blob") == F.col("of")) & F.col("doc").eqNullSafe(F.col("holder")), "left_semi")
         new = find(texts.select("blob", "text"), self.rules).distinct()
         stamp = F.lit(self.version).cast("int").alias("version")
         new.select(stamp, "blob", "number", "kind", "start", "end").write.mode("append").parquet(f"{self.path}/found")
