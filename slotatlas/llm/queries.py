@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, licenses, ngram_join, packing, quality, secrets, sharding, spotsigs, warc
+from slotatlas.llm import bpe, licenses, lm, ngram_join, packing, quality, secrets, sharding, spotsigs, warc
 from slotatlas.llm.common import materialize, table
 from slotatlas.session import run_dir
 
@@ -45,6 +45,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), order=2, held_out=True)
+
+
 @query("op5_spot_signatures")
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare(table(spark, sf_dir, "documents"))
