@@ -44,7 +44,7 @@ def parts_of(text: str) -> list[str]:
 
 
 #: Entries a worker remembers before it starts anew. Has no influence on results.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pre-tokens up to so many bytes are encoded side by side, longer ones one by one.
 SIDE_BY_SIDE = 64
 #: Output of about this size is handed to Spark at once.
@@ -354,20 +354,23 @@ def _offsets(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset:values.offset + len(values) + 1]
 
 
-def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace a text column by its token ids (packed, `unpack`) and `n_tokens`.
+def encode(df: DataFrame, vocab: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Replace a text column by its token ids (packed, `unpack`) and `n_tokens`; with `decoded`, add their text too.
 
-    Null is encoded like the empty text: no ids. Other columns are kept; one already called `ids` or `n_tokens` is replaced.
+    Null is encoded like the empty text: no ids. Other columns are kept; one already called like a new one is replaced.
+    Decoding in the same pass saves a second Python worker and the way of the ids through the JVM.
     """
     def make():
-        encoder = text_encoder(vocab)
+        known, encoder = vocabulary(vocab), text_encoder(vocab)
 
-        def some(values):
-            return [[(packed, len(packed) // 4)] for packed in encoder([x or "" for x in values])]
-        return some
+        def row(packed: bytes) -> tuple:
+            return (packed, len(packed) // 4, *([decode_ids(known, packed)] if decoded else []))
+        return lambda values: ([row(packed)] for packed in encoder([x or "" for x in values]))
 
     fields = [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return map_text(df, text, fields, make, lambda row: len(row[0]))
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
+    return map_text(df, text, fields, make, lambda row: 2 * len(row[0]))
 
 
 def decode(df: DataFrame, vocab: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
