@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,19 +11,37 @@ from pyspark.sql import functions as F
 from slotatlas.functions.timefn import col, let
 from slotatlas.rules import SLUG_PREFIX, SLUG_SUFFIXES
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&auml;", "ä"),
-            ("&ouml;", "ö"), ("&uuml;", "ü"), ("&eacute;", "é"), ("&egrave;", "è"),
-            ("&agrave;", "à"), ("&amp;", "&")]
+#: Character references: decimal, hexadecimal, named.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named() -> Column:
+    """Names of the standard's table; nbsp is a blank here."""
+    names = {**name2codepoint, "apos": 39, "nbsp": 32}
+    return F.create_map(*[F.lit(x) for name, code in sorted(names.items()) for x in (name, chr(code))])
+
+
+def _character(ref: Column) -> Column:
+    """Character of a reference; an unknown name stays as it is, an impossible number becomes U+FFFD."""
+    body = F.substring(ref, 2, 40)
+    number = F.coalesce(F.regexp_extract(body, r"^#([0-9]+);", 1).try_cast("int"),
+                        F.conv(F.nullif(F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]+);", 1), F.lit("")), 16, 10).try_cast("int"))
+    possible = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    one = F.decode(F.unhex(F.lpad(F.hex(F.when(possible, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    return F.when(number.isNotNull(), one).otherwise(
+        F.coalesce(F.try_element_at(_named(), F.regexp_extract(body, r"^([A-Za-z0-9]+);", 1)), ref))
 
 
 def _decode(c: Column) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, c)
+    """Every reference once, in one pass."""
+    def joined(refs: Column) -> Column:
+        return F.array_join(F.transform(F.split(c, REFERENCE, -1), lambda piece, i: F.concat(
+            piece, F.coalesce(_character(F.get(refs, i)), F.lit("")))), "")
+    return let(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), joined)
 
 
 def unescape(c) -> Column:
-    """The entities that occur in page text; ``&amp;`` last, so nothing is decoded twice."""
+    """Named and numeric character references decoded; nothing is decoded twice."""
     return let(col(c), lambda t: F.when(F.contains(t, F.lit("&")), _decode(t)).otherwise(t))
 
 
@@ -32,7 +51,7 @@ def squash(c) -> Column:
 
 def inner_text(c) -> Column:
     """Tags and white space to single blanks, entities decoded."""
-    plain = F.trim(F.regexp_replace(col(c), r"(?:<[^>]+>|[\s\u00a0])+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(col(c), r"<[^>]+>", " "), r"[\s\u00a0]+", " "))
     return let(plain, lambda t: F.when(F.contains(t, F.lit("&")), squash(_decode(t))).otherwise(t))
 
 

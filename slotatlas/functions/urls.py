@@ -42,7 +42,19 @@ def url_join(base, href) -> Column:
             .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
             .when(F.startswith(href, F.lit("?")),
                   F.concat(origin, F.when(path == "", F.lit("/")).otherwise(path), href))
-            .otherwise(F.concat(origin, folder, href)))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, href)))))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; what follows ``?`` or ``#`` stays."""
+    tail = F.regexp_extract(path, r"[?#].*$", 0)
+    steps = F.split(F.regexp_replace(path, r"[?#].*$", ""), "/")
+    up = lambda x: (x == "..") | (x == ".")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    slash = F.when(up(F.element_at(steps, -1)), F.lit("/")).otherwise(F.lit(""))
+    dotted = F.concat(F.array_join(kept, "/"), slash, tail)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:[/?#]|$)"), dotted).otherwise(path)
 
 
 def link_policy(url) -> Column:

@@ -19,12 +19,14 @@ from slotatlas.operators import html as H
 SLOT_TYPE = ("array<struct<day:string,time_start:string,time_end:string,class_name:string,teacher:string>>")
 
 
-def class_row(name, teacher, default: str = "Class", level: str = "all") -> list[Column]:
-    """Canonical slot columns: trimmed, capped at 100 / 60 characters, never empty."""
-    def clean(c):
-        return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
-    return [F.coalesce(F.nullif(F.substring(clean(name), 1, 100), F.lit("")), F.lit(default)).alias("class_name"),
-            F.substring(clean(teacher), 1, 60).alias("teacher"), F.lit(level).alias("level")]
+def class_row(name, teacher, default: str = "Class", level: str = "all", name_chars: int | None = None,
+              teacher_chars: int | None = None) -> list[Column]:
+    """Canonical slot columns: trimmed, never empty; cut only where a number of characters is given."""
+    def clean(c, chars):
+        whole = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+        return F.substring(whole, 1, chars) if chars else whole
+    return [F.coalesce(F.nullif(clean(name, name_chars), F.lit("")), F.lit(default)).alias("class_name"),
+            clean(teacher, teacher_chars).alias("teacher"), F.lit(level).alias("level")]
 
 
 def slot(day, start, end, name, teacher=None) -> Column:
@@ -32,20 +34,23 @@ def slot(day, start, end, name, teacher=None) -> Column:
     made = F.struct(
         day.alias("day"), start.alias("time_start"),
         F.coalesce(end if end is not None else F.lit(""), F.lit("")).alias("time_end"),
-        F.substring(F.coalesce(name, F.lit("")), 1, 100).alias("class_name"),
+        F.coalesce(name, F.lit("")).alias("class_name"),
         F.coalesce(teacher if teacher is not None else F.lit(""), F.lit("")).alias("teacher"))
     return let(made, lambda s: F.when(
         s["day"].isNotNull() & (F.coalesce(s["time_start"], F.lit("")) != "") & (s["class_name"] != ""), s))
 
 
 def clean(slots: Column) -> Column:
-    """Without nulls, first slot per (day, start, first 40 characters of the name)."""
-    def key(s):
-        return F.concat_ws("\x01", s["day"], s["time_start"], F.substring(s["class_name"], 1, 40))
+    """Without nulls, first slot per (day, start, name): sorted by key and place, first of each key, back in place order."""
+    def keyed(s, i):
+        return F.struct(F.concat_ws("\x01", s["day"], s["time_start"], s["class_name"]).alias("key"), i.alias("place"), s.alias("slot"))
 
-    return let(F.filter(slots, lambda s: s.isNotNull()), lambda kept: let(
-        F.transform(kept, key), lambda keys: F.filter(
-            kept, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    def firsts(found):
+        alone = F.filter(found, lambda x, i: (i == 0) | (x["key"] != F.get(found, i - 1)["key"]))
+        placed = F.array_sort(F.transform(alone, lambda x: F.struct(x["place"].alias("place"), x["slot"].alias("slot"))))
+        return F.transform(placed, lambda x: x["slot"])
+
+    return let(F.array_sort(F.transform(F.filter(slots, lambda s: s.isNotNull()), keyed)), firsts)
 
 
 def extract(pages: DataFrame, key: str, slots: Column) -> DataFrame:
@@ -124,15 +129,20 @@ def _named(text: Column, day: Column, single_ok: bool) -> Column:
     return F.when(text.rlike(H.RANGE), ranged()).otherwise(single()) if single_ok else F.when(text.rlike(H.RANGE), ranged())
 
 
-def heading_slots(html, single_ok: bool = True) -> Column:
-    """A day heading, then up to 30 blocks until the next heading."""
-    heading = rf"<(?:h[1-6]|strong|b|dt|th)\b[^>]*>\s*{H.DAY}\s*:?\s*</"
+def heading_slots(html, single_ok: bool = True, max_blocks: int | None = None) -> Column:
+    """A day heading, then all blocks (or the first ``max_blocks``) until the next heading.
+
+    The day may stand inside further tags and with a date behind it, but not with a range of clock times.
+    """
+    inner = r"(?:\s|<(?!/)[^>]+>)*+"
+    heading = rf"<(?:h[1-6]|strong|b|dt|th)\b[^>]*>{inner}{H.DAY}(?![^<]*{H.CLOCK}\s*[-–—])[^<]{{0,40}}</"
     pieces = F.filter(H.cut_before(html, heading), lambda p: p.rlike(rf"(?is)^{heading}"))
 
     def piece(p):
-        day = day_normalize(F.regexp_extract(p, r"(?is)^<[^>]*>([^<]*)", 1))
-        body = F.regexp_replace(F.regexp_replace(p, r"(?is)^<[^>]*>[^<]*</[^>]*>", ""), r"(?is)<h[1-6]\b.*$", "")
-        blocks = F.slice(H.leaves(body, "p|li|div|span|dd|td"), 1, R.MAX_SIBLINGS)
+        day = day_normalize(F.regexp_extract(p, rf"(?is)^<[^>]*>{inner}([^<]*)", 1))
+        body = F.regexp_replace(F.regexp_replace(p, rf"(?is)^<[^>]*>{inner}[^<]*(?:</[^>]*>)++", ""), r"(?is)<h[1-6]\b.*$", "")
+        blocks = H.leaves(body, "p|li|div|span|dd|td")
+        blocks = F.slice(blocks, 1, max_blocks) if max_blocks else blocks
         return let(day, lambda d: F.transform(blocks, lambda t: _named(t, d, single_ok)))
 
     return F.flatten(F.transform(pieces, piece))
@@ -153,36 +163,37 @@ def inline_slots(html) -> Column:
     return F.transform(hits, hit)
 
 
-def block_slots(html, default: str = "Class") -> Column:
-    """Blocks of 10–300 characters with a day and a range."""
+def block_slots(html, default: str = "Class", longest: int | None = None) -> Column:
+    """Blocks of 10 characters and more (up to ``longest``) with a day and a range."""
     def block(t):
         start, end = _range(t)
         rest = F.regexp_extract(t, rf"(?i){H.DAY}\s*:?\s*{H.CLOCK}\s*[-–—]\s*{H.CLOCK}\s*(?:Uhr|h\b)?\s*(.*)", 1)
         near = t.rlike(rf"(?i){H.DAY}\s*:?\s*{H.CLOCK}")
         name = F.coalesce(F.nullif(strip_edges(rest), F.lit("")), F.lit(default))
-        return F.when(F.length(t).between(10, 300) & near, slot(day_normalize(t), start, end, name))
+        return F.when((F.length(t) >= 10) & (F.length(t) <= F.lit(longest) if longest else F.lit(True)) & near, slot(day_normalize(t), start, end, name))
     return F.transform(H.leaves(html, "div|li|p|span|dd"), block)
 
 
 _DAY_LINE = rf"^(?![^\n]*\d[:.h]\d{{2}})[^\n]{{0,14}}{H.DAY}[^\n]{{0,14}}$"
 
 
-def line_slots(text) -> Column:
+def line_slots(text, longest: int | None = None, name_longest: int | None = None, teacher_longest: int | None = None) -> Column:
     """Line by line: a day line sets the day, a line with a range emits a slot.
 
     The name is the text before or after the range, else the previous or next
     line; the teacher is what follows. A single clock counts only next to a
-    topic word. Noise lines never become names.
+    topic word. Noise lines never become names. Lines, names from other lines and
+    teachers may be limited in length; they are not by default.
     """
     pieces = F.filter(H.cut_before(text, _DAY_LINE), lambda p: p.rlike(rf"(?im)\A{_DAY_LINE}"))
     span = r"\d{1,2}[.:h]\d{2}\s*[-–—]\s*\d{1,2}[.:h]\d{2}"
 
-    def usable(t, longest):
-        return (F.length(t) > 2) & (F.length(t) < longest) & ~t.rlike(f"(?i){R.LINE_NOISE}") & ~t.rlike(span)
+    def usable(t, most):
+        return (F.length(t) > 2) & (F.length(t) < F.lit(most) if most else F.lit(True)) & ~t.rlike(f"(?i){R.LINE_NOISE}") & ~t.rlike(span)
 
     def piece(p):
         kept = F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)),
-                        lambda x: (x != "") & (F.length(x) <= 200) & ~x.rlike(f"(?i){R.LINE_NOISE}"))
+                        lambda x: (x != "") & (F.length(x) <= F.lit(longest) if longest else F.lit(True)) & ~x.rlike(f"(?i){R.LINE_NOISE}"))
         return let(kept, lambda lines: let(day_normalize(F.get(lines, F.lit(0))), lambda d: emit(lines, d)))
 
     def emit(all_lines, day):
@@ -198,10 +209,10 @@ def line_slots(text) -> Column:
                 def named(a):
                     has_before, has_after = F.length(a["before"]) > 2, F.length(a["after"]) > 2
                     name = F.coalesce(F.when(has_before, a["before"]).when(has_after, a["after"]),
-                                      F.when(usable(a["prev"], 100), a["prev"]), F.when(usable(a["next"], 100), a["next"]))
+                                      F.when(usable(a["prev"], name_longest), a["prev"]), F.when(usable(a["next"], name_longest), a["next"]))
                     return let(name, lambda n: slot(day, start, end, n, F.coalesce(
                         F.when(has_before & has_after, a["after"]),
-                        F.when(usable(a["next"], 60) & (a["next"] != n) & day_normalize(a["next"]).isNull(), a["next"]))))
+                        F.when(usable(a["next"], teacher_longest) & (a["next"] != n) & day_normalize(a["next"]).isNull(), a["next"]))))
                 return let(around, named)
 
             def lone():
@@ -358,7 +369,7 @@ def appointments(html, lang: str | None = None) -> Column:
         start = F.regexp_replace(F.regexp_extract(desc, H.CLOCK, 0), r"\.", ":")
         ok = F.lower(n).rlike(words) & (day.isNotNull() | (start != ""))
         return F.when(ok, F.struct(F.coalesce(day, F.lit("TBC")).alias("day"), start.alias("time_start"), F.lit("").alias("time_end"),
-                                   F.substring(F.trim(n), 1, 100).alias("class_name"), F.lit("").alias("teacher")))
+                                   F.trim(n).alias("class_name"), F.lit("").alias("teacher")))
 
     return let(body, lambda b: let(H.found(b, r'"description":"([^"]*)"', 1), lambda descs: F.transform(
         H.found(b, r'"name":"([^"]+)"', 1), lambda n, i: one(n, i, descs))))
@@ -448,7 +459,7 @@ def text_prices(text, url) -> Column:
     Every stage runs once, and only on texts that hold an amount at all.
     """
     t = col(text)
-    page = F.concat_ws(" ", F.lower(col(url)), F.lower(F.substring(t, 1, 800))).rlike(R.PRICE_PAGE)
+    page = F.concat_ws(" ", F.lower(col(url)), F.lower(t)).rlike(R.PRICE_PAGE)
 
     def combine(near, fall):
         out = {f: F.coalesce(near[f], fall[f]) for f in ("single", "card_10", "monthly")}
@@ -530,9 +541,10 @@ def booking_links(pages: DataFrame, key: str, html: str, platforms: list[str]) -
 
 
 def link_frontier(sites: DataFrame, links: DataFrame, visited: DataFrame, site: str, subpaths: list[str],
-                  discovered_cap: int = 15, cap: int = 25) -> DataFrame:
-    """Next pages per site: discovered links first (at most 15), then the known
-    subpaths, minus visited ones, at most 25. ``visited``: (site, url_key)."""
+                  discovered_cap: int | None = None, cap: int | None = None) -> DataFrame:
+    """Next pages per site with their rank: discovered links first, then the known subpaths, minus visited ones.
+
+    Every candidate is given unless a cap is; callers filter on ``rank``. ``visited``: (site, url_key)."""
     from slotatlas.operators.ranking import top_n
     found = links.withColumn("url_key", urls.url_norm("link")).groupBy(site, "url_key").agg(F.min("link").alias("link"))
     found = top_n(found, [site], [F.col("link")], discovered_cap, "_r").select(

@@ -40,8 +40,9 @@ def header_text(table) -> Column:
 
 
 def leaves(html, tags: str) -> Column:
-    """Texts of the innermost elements with one of the tags."""
-    return F.transform(found(html, rf"(?is)<({tags})\b[^>]*>[^<]*</\1>"), cell_text)
+    """Texts between the borders of elements with one of the tags; other tags inside them are part of the text."""
+    pieces = F.transform(F.split(col(html), rf"(?is)</?(?:{tags})\b[^>]*>", -1), cell_text)
+    return F.filter(pieces, lambda t: t != "")
 
 
 def cut_before(c, pattern: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotatlas import rules as R
@@ -43,10 +43,13 @@ def apply_verified(entities: DataFrame, research: DataFrame, key: str, fields: l
         F.when(has_new, F.lit("verified")).when(had_old, F.lit("removed")).otherwise(F.lit("unchanged")).alias("action"))
 
 
-def recover_existing(missing: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Fill from an existing table first; ``recovered`` false = still needed."""
-    hit = known.withColumn("recovered", F.lit(True))
-    return missing.join(hit, key, "left").fillna({"recovered": False})
+def recover_existing(missing: DataFrame, known: DataFrame, key: str, prices: list[str]) -> DataFrame:
+    """Fill from an existing table first; ``recovered`` false = still needed.
+
+    Only rows that are verified and hold a real price count.
+    """
+    usable = known.filter(F.coalesce("verified", F.lit(False)) & price.any_real_price([F.col(p) for p in prices])).drop("verified")
+    return missing.join(usable.withColumn("recovered", F.lit(True)), key, "left").fillna({"recovered": False})
 
 
 def unpivot(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -81,39 +84,34 @@ def field_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str
 
 
 def close_pairs(points: DataFrame, part: str, x: str, y: str, key: str, eps: float = R.CLOSE_DEGREES,
-                salts: int = 16, hot_cell: int = 2000) -> DataFrame:
-    """Distinct positions of a partition closer than eps in both coordinates.
-
-    Equal positions collapse first, so a point repeated a million times is one
-    row with a count; the pair stands for ``n_1 * n_2`` pairs of members. Then a
-    grid join: cell = floor(x / eps), one side visits the 9 neighbour cells, the
-    join is an equality on (part, cell, salt). Cells with more than ``hot_cell``
-    positions are split: their left side gets a random-free salt by hash, the
-    right side visits every salt of such a cell.
+                target: int = 2000) -> DataFrame:
+    """Rows of a partition closer than eps in both coordinates.
+
+    The first row of a position stands for it: two close positions give one pair with the numbers of rows at each, and
+    each further row at a position is paired with its first one (numbers 1 and 1), so equal rows never multiply. The
+    positions meet in a grid join: cell = floor(x / eps), one side visits the 9 neighbour cells. The rows of a cell are
+    dealt into ceil(rows / target) salts on one side and visit all salts on the other, whatever their number.
     """
-    at = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()) \
-        .groupBy(part, x, y).agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
+    here = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    at = here.groupBy(part, x, y).agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
     at = at.withColumns({"_cx": F.floor(F.col(x) / eps), "_cy": F.floor(F.col(y) / eps)})
-    # Only the few crowded cells are listed; the marker joins on the cell itself.
-    hot = at.groupBy(part, "_cx", "_cy").agg(F.count("*").alias("_c")).filter(F.col("_c") > hot_cell) \
-        .select(part, "_cx", "_cy", F.lit(True).alias("_hot"))
-    left = at.join(hot, [part, "_cx", "_cy"], "left") \
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts))).otherwise(F.lit(0)))
-    left = left.select(part, "_cx", "_cy", "_salt", F.col(x).alias("x_1"), F.col(y).alias("y_1"),
-                       F.col("_id").alias("id_1"), F.col("_n").alias("n_1"))
+    cell = [part, "_cx", "_cy"]
+    salts = at.groupBy(*cell).agg(F.ceil(F.count("*") / target).alias("_salts"))
+    left = at.join(salts, cell).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")))
+    left = left.select(*cell, "_salt", F.col(x).alias("x_1"), F.col(y).alias("y_1"), F.col("_id").alias("id_1"), F.col("_n").alias("n_1"))
     steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                                 for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
     right = at.withColumn("_s", steps).select(
         part, (F.col("_cx") + F.col("_s.dx")).alias("_cx"), (F.col("_cy") + F.col("_s.dy")).alias("_cy"),
         F.col(x).alias("x_2"), F.col(y).alias("y_2"), F.col("_id").alias("id_2"), F.col("_n").alias("n_2"))
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = right.join(hot, [part, "_cx", "_cy"], "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("_hot")
-    right = right.withColumn("_salt", F.col("_salt").cast("bigint"))
-    left = left.withColumn("_salt", F.col("_salt").cast("bigint"))
+    right = right.join(salts, cell).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
     near = (F.abs(F.col("x_1") - F.col("x_2")) < eps) & (F.abs(F.col("y_1") - F.col("y_2")) < eps)
-    return left.join(right, [part, "_cx", "_cy", "_salt"]).filter((F.col("id_1") < F.col("id_2")) & near) \
-        .select(part, "id_1", "id_2", "n_1", "n_2")
+    apart = left.join(right, [*cell, "_salt"]).filter((F.col("id_1") < F.col("id_2")) & near).select(part, "id_1", "id_2", "n_1", "n_2")
+    shared = at.filter("_n > 1").select(part, x, y, F.col("_id").alias("id_1"))
+    one = F.lit(1).cast("bigint")
+    equal = here.join(shared, [part, x, y]).filter(F.col(key) > F.col("id_1")).select(
+        part, "id_1", F.col(key).alias("id_2"), one.alias("n_1"), one.alias("n_2"))
+    return apart.unionByName(equal)
 
 
 def same_position(points: DataFrame, part: str, x: str, y: str, key: str) -> DataFrame:
@@ -146,17 +144,23 @@ def style_city(places: DataFrame, roots: dict[str, list[str]], tags: str, city:
     return places.withColumn("style", F.explode(F.filter(hits, lambda s: s.isNotNull())))
 
 
-def cross_links(combos: DataFrame) -> DataFrame:
-    """Per (style, city): the other styles of the city and the other cities of the style.
+def cross_links(combos: DataFrame, first: int = 6) -> DataFrame:
+    """Per (style, city): the first other styles of the city and other cities of the style, and how many there are.
 
-    Both sets hold distinct rule names, so they stay as short as the rule lists.
+    Each list is cut to ``first`` names before it is gathered, so a style in very many cities costs no more.
     """
-    by_city = combos.groupBy("city").agg(F.collect_set("style").alias("_styles"))
-    by_style = combos.groupBy("style").agg(F.collect_set("city").alias("_cities"))
-    return combos.select("style", "city").distinct().join(by_city, "city").join(by_style, "style").select(
-        "style", "city",
-        F.array_join(F.array_sort(F.array_except("_styles", F.array("style"))), ",").alias("other_styles"),
-        F.array_join(F.array_sort(F.array_except("_cities", F.array("city"))), ",").alias("other_cities"))
+    pairs = combos.select("style", "city").distinct()
+
+    def others(group: str, name: str, out: str) -> DataFrame:
+        numbered = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(name))).filter(F.col("_r") <= first + 1)
+        names = numbered.groupBy(group).agg(F.array_sort(F.collect_list(name)).alias(out))
+        return pairs.groupBy(group).agg((F.count("*") - 1).alias(f"n_{out}")).join(names, group)
+
+    def listed(names: str, own: str) -> Column:
+        return F.array_join(F.slice(F.array_except(names, F.array(own)), 1, first), ",").alias(names)
+
+    return pairs.join(others("city", "style", "other_styles"), "city").join(others("style", "city", "other_cities"), "style").select(
+        "style", "city", listed("other_styles", "style"), "n_other_styles", listed("other_cities", "city"), "n_other_cities")
 
 
 def label_lookup(key, labels: dict[str, dict[str, str]], lang: str, fallback: str = "de") -> Column:

@@ -41,7 +41,7 @@ def event_docs(slots: DataFrame, places: DataFrame, part: str = "part", cap: int
     partition before the shuffle.
     """
     p = places.select(F.col("id").alias("place_id"), part, F.col("name").alias("place_name"), "website", "addresses", "single")
-    joined = slots.join(p, "place_id")
+    joined = slots.join(p, "place_id", "left")
     first = top_n(joined, [part], [day_index("day"), minutes("time_start").asc_nulls_last(), F.col("place_id"), F.col("class_id")], cap)
     url = _text("website")
     doc = F.to_json(F.struct(

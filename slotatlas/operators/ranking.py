@@ -22,7 +22,7 @@ def status_rank(column, order: list[str]) -> Column:
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First n rows per group. Spark limits each group before the shuffle (``row_number <= n``)."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n if n else F.lit(True))
 
 
 def distributed_rank(df: DataFrame, group: list[str], order: list[Column], out: str = "rank") -> DataFrame:

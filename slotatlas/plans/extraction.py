@@ -339,11 +339,11 @@ FRONTIER_SQL = f"""
 WITH links AS ({LINKS_SQL}), sites AS (SELECT page_id, {_ORIGIN} AS origin, lower(regexp_replace(url, '/+$', '')) AS seen FROM pages),
 found AS (SELECT page_id, url_key, link, row_number() OVER (PARTITION BY page_id ORDER BY link) AS ord FROM
   (SELECT page_id, lower(regexp_replace(link, '/+$', '')) AS url_key, min(link) AS link FROM links GROUP BY 1, 2)),
-cand AS (SELECT page_id, link, url_key, 0 AS src, ord FROM found WHERE ord <= 15 UNION ALL
+cand AS (SELECT page_id, link, url_key, 0 AS src, ord FROM found UNION ALL
   SELECT page_id, concat(origin, path), lower(concat(origin, path)), 1, ord FROM sites, (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(R.SCHEDULE_SUBPATHS))}) s(ord, path)),
-kept AS (SELECT c.page_id, c.url_key, arg_min(c.link, c.src * 1000 + c.ord) AS link, min(c.src * 1000 + c.ord) AS o FROM cand c JOIN sites s ON s.page_id = c.page_id
+kept AS (SELECT c.page_id, c.url_key, arg_min(c.link, c.src * 1000000 + c.ord) AS link, min(c.src * 1000000 + c.ord) AS o FROM cand c JOIN sites s ON s.page_id = c.page_id
   WHERE c.url_key <> s.seen GROUP BY 1, 2)
-SELECT page_id, link, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o, link) AS rn FROM kept) WHERE rn <= 25"""
+SELECT page_id, link, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o, link) AS rn FROM kept)"""
 
 
 @query("ex_link_frontier", FRONTIER_SQL)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from slotatlas.functions.timefn import clock
 from slotatlas.plans.standins import table
 from slotatlas.rules import DAY_WORDS, DAYS
-from slotatlas.session import spread
 
 N = 3
 STYLES = ["Vinyasa", "Hatha", "Yin"]
@@ -38,7 +37,7 @@ def slot_pages(spark, sf, template, head="", foot="", out="html") -> DataFrame:
     parts = [F.lit(head)]
     for k in range(N):
         parts += [p if isinstance(p, Column) else F.lit(p) for p in template(_slot_columns(k), k)]
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     return orders.select(
         F.col("o_orderkey").alias("page_id"), F.concat(*parts, F.lit(foot)).alias(out))
 
@@ -77,7 +76,7 @@ def price_pages(spark, sf) -> DataFrame:
     html = F.concat(F.lit("<html><body><script>var x = 'CHF 77';</script><h1>Preise</h1><p>Einzelstunde CHF "), single, F.lit("</p><p>" + FILLER),
                     F.lit("</p><p>10er Karte "), ten, F.lit(".-</p><p>" + FILLER), F.lit("</p><p>Monatsabo Fr. "), month,
                     F.lit("</p><p>" + FILLER + "</p><p>"), trial, F.lit("</p></body></html>"))
-    parts = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     return parts.select("p_partkey", F.lit("https://x.example.ch/preise").alias("url"), html.alias("html"))
 
 

@@ -123,9 +123,9 @@ def so_price(spark, sf):
     return places(spark, sf).filter(facets.is_active()).orderBy(F.asc_nulls_last("single"), "id").select("id", "single")
 
 
-@query("so_price_desc_top", with_places(f"SELECT id, single FROM places WHERE {ACTIVE} ORDER BY single DESC NULLS FIRST, id LIMIT 60"))
+@query("so_price_desc_top", with_places(f"SELECT id, single FROM places WHERE {ACTIVE}"))
 def so_price_desc_top(spark, sf):
-    return places(spark, sf).filter(facets.is_active()).orderBy(F.desc_nulls_first("single"), "id").limit(60).select("id", "single")
+    return places(spark, sf).filter(facets.is_active()).orderBy(F.desc_nulls_first("single"), "id").select("id", "single")
 
 
 @query("so_time", with_slots(f"SELECT class_id, day, {Q.sql_day_index('day')} AS day_no, {Q.sql_minutes('time_start')} AS start_min FROM slots"))
@@ -136,10 +136,10 @@ def so_time(spark, sf):
 
 
 @query("so_status_rank", with_base(
-    "SELECT id, status, part FROM places ORDER BY CASE status WHEN 'error' THEN 0 WHEN 'no_data' THEN 1 WHEN 'success' THEN 2 ELSE 3 END, part, name, id LIMIT 400"))
+    "SELECT id, status, part FROM places ORDER BY CASE status WHEN 'error' THEN 0 WHEN 'no_data' THEN 1 WHEN 'success' THEN 2 ELSE 3 END, part, name, id"))
 def so_status_rank(spark, sf):
     return places_base(spark, sf).orderBy(ranking.status_rank("status", ["error", "no_data", "success"]), "part", "name", "id") \
-        .limit(400).select("id", "status", "part")
+        .select("id", "status", "part")
 
 
 @query("so_nearest", "SELECT id, floor(d * 10 + 0.5e0) / 10 AS km FROM (SELECT id, sqrt((x - 0.02e0) * (x - 0.02e0) + (y - 0.03e0) * (y - 0.03e0)) * 111 AS d FROM ("

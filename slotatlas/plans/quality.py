@@ -69,10 +69,10 @@ SLOT_SQL = {
 ORPHAN_SQL = finding("orphan_slot", "high", "place_id", "CAST(n AS VARCHAR)", "", "true", entity="place_id",
                      source=f"(SELECT place_id, count(*) AS n FROM slots WHERE {E} > {S} AND place_id NOT IN (SELECT id FROM places WHERE segment <> 'BUILDING') GROUP BY place_id)")
 DUP_NAME_SQL = finding("duplicate_name", "medium", "name", "concat(name_key, ' x', n_members)", "", "true", entity="first_id",
-                       source="(SELECT part, description AS name_key, count(DISTINCT id) AS n_members, min(id) AS first_id FROM places GROUP BY 1, 2 HAVING count(DISTINCT id) > 1)")
+                       source="(SELECT part, description AS name_key, count(DISTINCT id) AS n_members, min(id) AS first_id FROM places WHERE trim(description) <> '' GROUP BY 1, 2 HAVING count(DISTINCT id) > 1)")
 DUP_ADDR_SQL = finding("duplicate_address", "medium", "addresses", "concat(street, ' x', n_members)", "", "true", entity="first_id",
                        source="(SELECT part, street, zip, count(DISTINCT id) AS n_members, min(id) AS first_id FROM (SELECT part, id, lower(trim(a.street)) AS street, trim(a.zip) AS zip "
-                              "FROM (SELECT part, id, unnest(addresses) AS a FROM places)) GROUP BY 1, 2, 3 HAVING count(DISTINCT id) > 1)")
+                              "FROM (SELECT part, id, unnest(addresses) AS a FROM places)) WHERE street <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT id) > 1)")
 
 
 def place_findings(df, keys):
@@ -148,14 +148,14 @@ def dq_orphan(spark, sf):
 
 def dup_names(df):
     named = df.select("part", F.col("description").alias("name_key"), "id")
-    return group_findings(quality.duplicate_findings(stats.duplicates(named, ["part", "name_key"], "id"),
+    return group_findings(quality.duplicate_findings(stats.duplicates(named, ["part", "name_key"], "id", named=["name_key"]),
                                                      "duplicate_name", "medium", "name", "first_id", "name_key"))
 
 
 def dup_addresses(df):
     a = df.select("part", "id", F.explode("addresses").alias("a")).select(
         "part", "id", F.lower(F.trim("a.street")).alias("street"), F.trim("a.zip").alias("zip"))
-    return group_findings(quality.duplicate_findings(stats.duplicates(a, ["part", "street", "zip"], "id"),
+    return group_findings(quality.duplicate_findings(stats.duplicates(a, ["part", "street", "zip"], "id", named=["street"]),
                                                      "duplicate_address", "medium", "addresses", "first_id", "street"))
 
 

@@ -184,7 +184,6 @@ TABLE_HEADER_WORDS = ["montag", "dienstag", "mittwoch", "donnerstag", "freitag",
 LINK_TABLE_WORDS = ["montag", "dienstag", "mittwoch", "donnerstag", "freitag", "samstag",
                     "sonntag", "monday", "tuesday", "wednesday", "thursday", "friday",
                     "saturday", "sunday", "zeit", "time", "kurs", "class", "lehrer", "teacher"]
-MAX_SIBLINGS = 30
 
 # --- tags -----------------------------------------------------------------------
 TAG_ROOTS = {

@@ -49,16 +49,6 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df):
-    """Use all cores for heavy work on a scan that yields few splits.
-
-    A large table already has at least one split per core and is left alone;
-    only a small file is shuffled, which is cheap.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def reliable_checkpoint(df):
     """Cut lineage through the shared folder (survives lost executors)."""
     sc = df.sparkSession.sparkContext

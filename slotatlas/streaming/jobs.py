@@ -64,7 +64,7 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
                   chunk_unit: str = "hour") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(changes, new state, late rows) of one batch.
 
-    Rows not newer than the state of their key are late: dropped and counted.
+    Rows not after the state of their key, by time and then tie, are late: dropped and counted.
     The rest and the state row of the key run through a chunked lag, so a key
     that holds most of the batch is still spread over many tasks.
     """
@@ -73,8 +73,8 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
     if state is None:
         late, fresh = rows.limit(0), rows.withColumn("_new", F.lit(True))
     else:
-        marked = segmented.join_groups(rows, state.select(*keys, F.col(ts).alias("_ts")), keys, "left")
-        is_late = F.coalesce(F.col(ts) <= F.col("_ts"), F.lit(False))
+        marked = segmented.join_groups(rows, state.select(*keys, F.struct(ts, tie).alias("_last")), keys, "left")
+        is_late = F.coalesce(F.struct(ts, tie) <= F.col("_last"), F.lit(False))
         late = marked.filter(is_late).select(*cols)
         fresh = marked.filter(~is_late).select(*cols).withColumn("_new", F.lit(True)) \
             .unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
