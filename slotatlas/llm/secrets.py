@@ -41,7 +41,7 @@ FURTHER = [
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", r"xox[abeoprs]-"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", r"AIza"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ )*+PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,64}PRIVATE KEY-----", r"PRIVATE KEY-----"),
     Rule("url", r"[a-z]{2,12}://[A-Za-z0-9._~%+-]{1,64}:[A-Za-z0-9._~%!$&*+-]{3,128}@", r"://[A-Za-z0-9._~%+-]{1,64}:"),
 ]
 RULES = BASE + FURTHER

@@ -37,10 +37,10 @@ def even_map(shards: int, slots: int = SLOTS) -> list[int]:
     return [slot % shards for slot in range(slots)]
 
 
-def rebalance(shard_of: list[int], size: list[int], shards: int) -> list[int]:
-    """The map edited so that the shards' bytes are nearly equal.
+def rebalance(shard_of: list[int], size: list[int], shards: int, tolerance: float = 0.0005) -> list[int]:
+    """The map edited so that the shards' bytes are nearly equal: within the tolerance of the mean, if slots allow.
 
-    Shards above the mean give up slots, those that fit their excess best; the slots go to the lightest shards, largest
+    Shards above that give up slots, those that fit their excess best; the slots go to the lightest shards, largest
     first; then single slots move from the heaviest to the lightest shard while that brings the two closer. Slots of
     shards that are within the mean stay where they are. Empty slots never move.
     """
@@ -53,7 +53,7 @@ def rebalance(shard_of: list[int], size: list[int], shards: int) -> list[int]:
             load[shard] += size[slot]
     mean = sum(size) / shards
     free = []
-    for shard in range(shards):
+    for shard in [s for s in range(shards) if load[s] > mean * (1 + tolerance)]:
         for slot in sorted(held[shard], key=lambda s: (-size[s], s)):
             if load[shard] - size[slot] >= mean or (load[shard] > mean and len(held[shard]) > 1 and size[slot] <= 2 * (load[shard] - mean)):
                 held[shard].remove(slot)
@@ -71,7 +71,7 @@ def rebalance(shard_of: list[int], size: list[int], shards: int) -> list[int]:
         high, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[high] - load[low]
         slot = min(held[high], key=lambda s: (abs(gap - 2 * size[s]), s), default=None)
-        if slot is None or size[slot] >= gap:
+        if gap <= tolerance * mean or slot is None or size[slot] >= gap:
             break
         held[high].remove(slot)
         held[low].add(slot)
