@@ -176,7 +176,25 @@ def dq_dup_coord(spark, sf):
                         F.col("id_1").cast("string").alias("entity_id"), F.col("id_2").cast("string").alias("value"))
 
 
-ALL_SQL = " UNION ALL ".join([*PLACE_SQL.values(), *SLOT_SQL.values(), ORPHAN_SQL, DUP_NAME_SQL, DUP_ADDR_SQL])
+CHANGE_SQL = ("SELECT 'price_change' AS type, CASE WHEN pct > 50 THEN 'high' ELSE 'medium' END AS severity, CAST(part_id AS VARCHAR) AS entity_id, '' AS row_key, field, "
+              "concat(CAST(floor(pct + 0.5e0) AS BIGINT), '%') AS value, '20%' AS expected_range, 'price change' AS message "
+              "FROM (SELECT *, abs(new_value - old_value) / old_value * 100 AS pct FROM (" + PAIRS_SQL + ")) WHERE pct > 20")
+COORD_SQL = finding("duplicate_coordinates", "low", "lat/lng", "CAST(id_2 AS VARCHAR)", "", "true", source="(" + CLOSE_SQL + ")", entity="id_1")
+ALL_SQL = " UNION ALL ".join([*PLACE_SQL.values(), *SLOT_SQL.values(), ORPHAN_SQL, DUP_NAME_SQL, DUP_ADDR_SQL, CHANGE_SQL, COORD_SQL])
+
+
+def change_findings(spark, sf):
+    d = joins.snapshot_diff(snapshot(spark, sf, 1996), snapshot(spark, sf, 1997), ["part_id"], ["lo", "hi", "mean"])
+    value = F.concat(F.floor(F.col("pct") + 0.5).cast("string"), F.lit("%"))
+    return group_findings(d.select(
+        F.lit("price_change").alias("type"), "severity", F.col("part_id").cast("string").alias("entity_id"), "field", value.alias("value"),
+        F.lit("20%").alias("expected_range"), F.lit("price change").alias("message")))
+
+
+def coordinate_findings(spark, sf):
+    pairs = joins.close_pairs(points(spark, sf), "label", "x", "y", "id", eps=0.01)
+    rule = quality.Rule("duplicate_coordinates", "low", F.lit(True), "lat/lng", F.col("id_2").cast("string"))
+    return group_findings(quality.run_rules(pairs, [rule], {"entity_id": F.col("id_1").cast("string")}))
 
 
 def all_findings(spark, sf):
@@ -184,7 +202,7 @@ def all_findings(spark, sf):
     base = places_base(spark, sf)
     parts = [place_findings(p, list(PLACE_SQL)), slot_findings(s, list(SLOT_SQL)),
              group_findings(quality.orphan_findings(s, known_places(spark, sf), "place_id")),
-             dup_names(base), dup_addresses(base)]
+             dup_names(base), dup_addresses(base), change_findings(spark, sf), coordinate_findings(spark, sf)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
