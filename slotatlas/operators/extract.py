@@ -72,26 +72,37 @@ def _range(text: Column) -> tuple[Column, Column]:
 # --- tables -------------------------------------------------------------------
 
 def table_slots(html, lang: str | None = None) -> Column:
-    """Tables with a schedule header: per row the first day cell, the first cell
-    with clock times, and the first other cell as the name."""
+    """Tables with a schedule header, or without header cells but with days and clock times: per row the first day
+    cell (else the day of the last row that began with one), the first cell with clock times, and the first other cell
+    as the name."""
     words = "|".join(R.TABLE_HEADER_WORDS)
-    rows = F.flatten(F.transform(F.filter(H.tables(html), lambda t: H.header_text(t).rlike(words)), H.table_rows))
+    day_row = rf"<tr\b[^>]*>\s*<t[dh]\b[^>]*>(?:\s|<(?!/)[^>]+>)*+{H.DAY}"
 
-    def one(row):
+    def scheduled(t):
+        bare = ~t.rlike(r"(?i)<th\b") & t.rlike(rf"(?i){H.DAY}") & t.rlike(H.CLOCK)
+        return H.header_text(t).rlike(words) | bare
+
+    def piece(p):
+        cell = H.cell_text(F.regexp_extract(p, r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", 1))
+        above = F.when(p.rlike(rf"(?is)^{day_row}"), day_normalize(cell, lang))
+        return let(above, lambda day: F.transform(H.table_rows(p), lambda row: one(row, day)))
+
+    def one(row, above):
         numbered = F.transform(H.cells(row), lambda c, i: F.struct(
             i.alias("i"), c.alias("t"), day_normalize(c, lang).alias("d"),
-            H.found(c, r"\b\d{1,2}:\d{2}\b").alias("times")))
+            F.transform(H.found(c, r"\b\d{1,2}[:.]\d{2}\b(?!\.)"), lambda x: F.replace(x, F.lit("."), F.lit(":"))).alias("times")))
 
         def pick(n):
             day = _first(n, lambda c: c["d"].isNotNull())
             return let(day, lambda d: let(
                 _first(n, lambda c: (F.size(c["times"]) > 0) & ~c["i"].eqNullSafe(d["i"])), lambda t: slot(
-                    d["d"], F.get(t["times"], F.lit(0)), F.get(t["times"], F.lit(1)),
+                    F.coalesce(d["d"], above), F.get(t["times"], F.lit(0)), F.get(t["times"], F.lit(1)),
                     _first(n, lambda c: (c["t"] != "") & ~c["i"].eqNullSafe(d["i"]) & ~c["i"].eqNullSafe(t["i"])
-                           & ~c["t"].rlike(r"^\d{1,2}:\d{2}\b"))["t"])))
+                           & ~c["t"].rlike(r"^\d{1,2}[:.]\d{2}\b"))["t"])))
         return let(numbered, pick)
 
-    return F.transform(rows, one)
+    pieces = F.flatten(F.transform(F.filter(H.tables(html), scheduled), lambda t: H.cut_before(t, day_row)))
+    return F.flatten(F.transform(pieces, piece))
 
 
 def day_header_table_slots(html) -> Column:

@@ -25,7 +25,8 @@ def test_heading_state_and_limits(spark):
     many = "".join(f"<p>{8 + i // 6:02d}:{i % 6}0 - 20:00 Kurs {i}</p>" for i in range(35))
     html = f"<p>07:00 - 08:00 early</p><h2>Freitag</h2>{many}<h2>Info</h2><p>09:00 - 10:00 no day</p>"
     got = run(spark, html, X.heading_slots("html"))
-    assert len(got) == 30 and {g[0] for g in got} == {"Friday"}
+    assert len(got) == 35 and {g[0] for g in got} == {"Friday"}
+    assert len(run(spark, html, X.heading_slots("html", max_blocks=30))) == 30
 
 
 def test_heading_single_clock_and_teacher(spark):
@@ -87,3 +88,37 @@ def test_links(spark):
 def test_text_before(spark):
     text = "First. Second part! Deep Yin Fridays @ 15:15 and more. Late Flow Sunday 9:00"
     assert [(g[0], g[1], g[3]) for g in run(spark, text, X.text_before_slots("html"))] == [("Friday", "15:15", "Deep Yin"), ("Sunday", "9:00", "Late Flow")]
+
+
+def test_table_day_is_inherited_and_header_cells_may_lack(spark):
+    html = ("<table><tr><td><b>Montag</b></td><td>09:00 - 10:15</td><td>Yin</td></tr><tr><td></td><td>10.15 - 11.30</td><td>Hatha</td></tr>"
+            "<tr><td>Dienstag</td><td>18:00</td><td>Flow</td></tr></table>")
+    assert run(spark, html, X.table_slots("html")) == [
+        ("Monday", "09:00", "10:15", "Yin", ""), ("Monday", "10:15", "11:30", "Hatha", ""), ("Tuesday", "18:00", "", "Flow", "")]
+
+
+def test_headings_with_dates_and_tags_and_blocks_with_inline_tags(spark):
+    blocks = "".join(f"<p>{h:02d}:00 - {h:02d}:45 <b>Vinyasa</b> {h}</p>" for h in range(6, 23)) * 3
+    html = f"<h3><span>Montag</span></h3><p>09:00 - 10:15 <b>Yin</b></p><h3>Dienstag, 12. Januar</h3>{blocks}"
+    got = run(spark, html, X.heading_slots("html"))
+    assert got[0][:4] == ("Monday", "09:00", "10:15", "Yin") and len(got) == 18
+    assert {g[0] for g in got[1:]} == {"Tuesday"}
+
+
+def test_names_alike_in_forty_characters_stay_two(spark):
+    name = "A very long class name that goes on and on and on "
+    html = f"<h3>Montag</h3><p>09:00 - 10:00 {name}one</p><p>09:00 - 10:00 {name}two</p><p>09:00 - 10:00 {name}two</p>"
+    assert [g[3] for g in run(spark, html, X.heading_slots("html"))] == [name + "one", name + "two"]
+
+
+def test_many_tags_and_all_character_references(spark):
+    from slotatlas.functions.text import strip_tags
+    df = spark.createDataFrame([("<b>" * 100_000 + "x&#8211;y &szlig; &rsquo; &Uuml; &#x1F600; &amp;lt; &unknown; &#0;</b>",)], "h string")
+    assert df.select(strip_tags("h")).first()[0] == "x–y ß ’ Ü 😀 &lt; &unknown; �"
+
+
+def test_links_without_dot_segments(spark):
+    from slotatlas.functions.urls import url_join
+    df = spark.createDataFrame([("https://a.ch/x/y/z", h) for h in ("../k", "./k", "../../../k?q=../s", "k", "../")], "b string, h string")
+    assert [r[0] for r in df.select(url_join("b", "h")).collect()] == [
+        "https://a.ch/x/k", "https://a.ch/x/y/k", "https://a.ch/k?q=../s", "https://a.ch/x/y/k", "https://a.ch/x/"]

@@ -40,8 +40,9 @@ def brute_pairs(points, eps):
     for i, p, x, y in points:
         merged.setdefault((p, x, y), []).append(i)
     pos = [(p, x, y, min(ids), len(ids)) for (p, x, y), ids in merged.items()]
-    return sorted((a[0], a[3], b[3], a[4], b[4]) for a in pos for b in pos
-                  if a[0] == b[0] and a[3] < b[3] and abs(a[1] - b[1]) < eps and abs(a[2] - b[2]) < eps)
+    same = [(p, min(ids), i, 1, 1) for (p, _, _), ids in merged.items() for i in ids if i != min(ids)]
+    return sorted(same + [(a[0], a[3], b[3], a[4], b[4]) for a in pos for b in pos
+                          if a[0] == b[0] and a[3] < b[3] and abs(a[1] - b[1]) < eps and abs(a[2] - b[2]) < eps])
 
 
 def test_close_pairs_equal_brute_force(spark):
@@ -50,8 +51,8 @@ def test_close_pairs_equal_brute_force(spark):
     points += [(1000 + i, 0, 0.0505, 0.0505) for i in range(50)]  # one position, many rows
     points += [(2000, 1, 0.5, 0.5), (2001, 1, 0.75, 0.5)]  # exactly eps apart: no pair
     df = spark.createDataFrame(points, "id int, part int, x double, y double")
-    for hot in (2000, 3):  # with hot_cell = 3 most cells are split
-        got = joins.close_pairs(df, "part", "x", "y", "id", eps=0.02, hot_cell=hot, salts=4)
+    for target in (2000, 3):  # with a target of 3 most cells are split
+        got = joins.close_pairs(df, "part", "x", "y", "id", eps=0.02, target=target)
         assert sorted(map(tuple, got.collect())) == brute_pairs(points, 0.02)
     far = joins.close_pairs(df.filter("id >= 2000"), "part", "x", "y", "id", eps=0.25)
     assert far.count() == 0
@@ -158,3 +159,12 @@ def test_merge_keeps_check_dates(spark):
     old = spark.createDataFrame([(1, 10.0, 20.0, "o", "o")], "id int, a double, b double, a_checked string, b_checked string")
     new = spark.createDataFrame([(1, 11.0, None)], "id int, a double, b double")
     assert tuple(reconcile.merge_struct(old, new, "id", ["a", "b"], "n").first()) == (1, 11.0, 20.0, "n", "o")
+
+
+def test_equal_positions_are_pairs(spark):
+    from slotatlas.operators import joins
+    df = spark.createDataFrame([(5, "p", 1.0, 1.0), (3, "p", 1.0, 1.0), (9, "p", 1.0, 1.0), (4, "p", 1.001, 1.0), (7, "q", 1.0, 1.0), (8, "p", None, 1.0)],
+                               "id bigint, part string, x double, y double")
+    for target in (1, 2000):
+        got = joins.close_pairs(df, "part", "x", "y", "id", eps=0.01, target=target)
+        assert set(map(tuple, got.collect())) == {("p", 3, 4, 3, 1), ("p", 3, 5, 1, 1), ("p", 3, 9, 1, 1)}

@@ -74,3 +74,13 @@ def test_summary_stream_equals_closed_windows(spark, tmp_path):
     top = rows(1200)[-1][1] - dt.timedelta(days=1)
     closed = whole.filter(F.col("window_start") + F.expr("INTERVAL 1 DAY") <= F.lit(top))
     assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
+
+
+def test_equal_times_over_a_border_of_batches(spark, tmp_path):
+    src, out, t = str(tmp_path / "in"), str(tmp_path / "out"), dt.datetime(2024, 1, 1)
+    spark.createDataFrame([], SCHEMA).write.parquet(src)
+    for row in [(1, t, 1, 10.0), (2, t, 1, 20.0), (3, t + dt.timedelta(minutes=1), 1, 30.0)]:
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        jobs.value_change_stream(jobs.file_stream(spark, src, "*.parquet", SCHEMA), out, ["k"], "ts", "id", "v").awaitTermination()
+    got = jobs.read_batches(spark, f"{out}/changes").select("id", "old_value", "new_value").collect()
+    assert sorted(map(tuple, got)) == [(2, 10.0, 20.0), (3, 20.0, 30.0)]
