@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotatlas.llm.common import materialize, shuffle_partitions
+from slotatlas.llm.common import let, materialize, shuffle_partitions
 
 #: Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = (
@@ -23,22 +23,39 @@ ANCHORS = (
 #: Texts with fewer spot signatures are described by all runs of three words too.
 LEAST_SPOTS = 4
 
-_STOP = "(?:" + "|".join(sorted(ANCHORS, key=lambda w: (-len(w), w))) + ") "
-_CONTENT = f"(?!{_STOP})[^ ]+ "
-#: Possessive loops over anchors run without recursion, however many anchors stand in a row.
-_SPOT = f"(?<= )(?=({_STOP}(?:{_STOP})*+{_CONTENT}(?:{_STOP})*+{_CONTENT}))"
+
+def _any_of(words: list[str]) -> str:
+    """Alternatives grouped by first letter, so that most words fail after one look."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        tails.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(sorted(tails))}])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(tails.items())) + ")"
+
+
+#: Stands before each anchor once a text is prepared.
+_MARK = "\x01"
+_ANCHOR = f"(?<= )(?={_any_of(ANCHORS)} )"
+_STOP, _CONTENT = f"{_MARK}[^ ]+ ", f"[^ {_MARK}][^ ]* "
+#: A chain skips so many anchors at most before each content word; this keeps the search linear in texts of anchors alone.
+MOST_SKIPPED = 8
+_SKIP = f"(?:{_STOP}){{0,{MOST_SKIPPED}}}+"
+_SPOT = f"(?<= )(?=({_STOP}{_SKIP}{_CONTENT}{_SKIP}{_CONTENT}))"
 _RUN = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+ ))"
 
 
 def signatures(text: Column) -> Column:
-    """Sorted set of hashed signatures. Never empty: a text with fewer than three words stands for itself."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    words = F.regexp_replace(words, "  +", " ")
-    spots = F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1))
+    """Sorted set of hashed signatures. Never empty: a text with fewer than three words stands for itself.
+
+    Words are ASCII letters and digits and all that is beyond ASCII, in lower case.
+    """
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[\\x00-/:-`{-\\x7f]+", " ")), F.lit(" "))
+    marked = F.regexp_replace(words, _ANCHOR, _MARK)
+    spots = F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1))
     chains = F.transform(spots, lambda x: F.xxhash64(F.regexp_replace(x, f"(?<= ){_STOP}", "")))
     runs = F.transform(F.regexp_extract_all(words, F.lit(_RUN), F.lit(1)), lambda x: F.xxhash64(x, F.lit(3)))
-    few = F.concat(chains, F.when(F.size(chains) < LEAST_SPOTS, runs).otherwise(F.array().cast("array<bigint>")))
-    return F.array_sort(F.array_distinct(F.when(F.size(few) > 0, few).otherwise(F.array(F.xxhash64(text, F.lit(1))))))
+    return let(chains, lambda c: F.when(F.size(c) >= LEAST_SPOTS, F.array_sort(F.array_distinct(c))).otherwise(
+        let(F.concat(c, runs), lambda few: F.array_sort(F.array_distinct(
+            F.when(F.size(few) > 0, few).otherwise(F.array(F.xxhash64(text, F.lit(1)))))))))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -48,8 +65,7 @@ def fingerprint(sigs: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of signatures."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
 def next_to(df: DataFrame) -> DataFrame:
