@@ -4,9 +4,9 @@ MinHash banding with bands and rows chosen for a target recall: documents meet w
 every pair that meets is verified on the full n-gram sets.
 
 - Texts with equal n-gram sets form a class; only its representative (the smallest id) goes on.
-- A band hash shared by one representative alone is dropped. Each other representative has a home, the band hash it
-  shares with most, and homes are cut into blocks of about BLOCK members by hash. Two blocks are paired when some band
-  hash has members of both. So a text travels once for each pair of blocks it belongs to, not once for each band or
+- A band hash of one representative alone is dropped. The others gather in homes, around the band hash that they share
+  with most, and homes are cut into blocks of about BLOCK members by hash. Two blocks are paired when some band hash
+  has members of both. So a text travels once for each pair of blocks it belongs to, not once for each band or
   partner, and a group of any size is spread over many tasks of bounded size.
 - A task verifies all pairs of two blocks at once. It gives the number of links for each member (copies included) and
   a spanning forest of its links, never the pairs themselves.
@@ -47,7 +47,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
     """Bands and rows: the most selective bands (most rows) that reach the recall at the threshold within the hashes."""
     for rows in range(most_hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold ** rows))) if threshold < 1 else 1
         if bands * rows <= most_hashes:
             return bands, rows
     raise ValueError("the recall needs more hashes")
@@ -117,14 +117,32 @@ def signatures(df: DataFrame, n: int, bands: int, rows: int, text: str = "text")
     return map_text(df, text, fields, make, lambda row: 300)
 
 
+def settled(met: DataFrame, rounds: int = 2) -> DataFrame:
+    """(rep, home): those that meet gather in few homes.
+
+    The first home of a representative is the bucket that it shares with most others. In each round, all of a home move
+    to the largest home that any of them shares a bucket with, so that the scattered rest of a group joins its core.
+    """
+    home = met.groupBy("rep").agg(F.max(F.struct("members", "bucket")).alias("top")).select("rep", F.col("top.bucket").alias("home"))
+    for _ in range(rounds):
+        home = materialize(home, "home")
+        size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+        seen = met.select("bucket", "rep").join(home.join(size, "home"), "rep")
+        largest = seen.groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("to"))
+        moves = seen.select("bucket", "home").distinct().join(largest, "bucket").groupBy("home").agg(F.max("to").alias("to"))
+        home = home.join(moves, "home").select("rep", F.col("to.home").alias("home"))
+    return home
+
+
 def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, block) for representatives that meet another one, and the pairs of blocks to verify (low <= high)."""
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = materialize(buckets.join(shared, "bucket"), "met")
-    home = met.groupBy("rep").agg(F.max(F.struct("members", "bucket")).alias("home"))
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("home.members") / BLOCK))
-    blocks = materialize(home.select("rep", F.xxhash64("home.bucket", part).alias("block")), "blocks")
+    home = settled(met)
+    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("size") / BLOCK))
+    blocks = materialize(home.join(size, "home").select("rep", F.xxhash64("home", part).alias("block")), "blocks")
     touched = met.select("bucket", "rep").join(blocks, "rep").select("bucket", "block").distinct()
     pairs = touched.alias("a").join(touched.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") <= F.col("b.block")))
     return blocks, pairs.select(F.col("a.block").alias("low"), F.col("b.block").alias("high")).distinct()
