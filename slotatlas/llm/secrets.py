@@ -2,12 +2,14 @@
 
 Every version of a text is addressed by its content (SHA-256). The ledger keeps, under a path, which blobs a version of
 the rules has seen and what it found there; a scan looks at unseen pairs of blob and rule version only, adds them, and
-joins the findings back to every row that holds the blob. Findings are written before the blobs are marked as seen, so
+joins the findings back to every row that holds the blob. Texts for which no rule's gate opens hold nothing: they are
+marked as seen, but neither they nor their rows are shuffled. Findings are written before the blobs are marked as seen, so
 a job that dies in between scans those blobs again, and reading takes equal findings once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +52,11 @@ FOUND = "version int, blob string, number int, kind string, start long, end long
 SEEN = "version int, blob string"
 
 
+def suspect(text: Column, rules: list[Rule]) -> Column:
+    """Whether any gate opens. A text without holds nothing, and needs to travel nowhere."""
+    return reduce(lambda a, b: a | b, [text.rlike(rule.gate) for rule in rules])
+
+
 def find(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(blob, number, kind, start, end) of all matches in (blob, text): leftmost, not overlapping within a kind.
 
@@ -89,12 +96,12 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("version") == self.version).drop("version").distinct()
 
     def update(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Scan the blobs of `df` that this version of the rules has not seen: one text for each."""
+        """Scan the blobs of `df` that this version of the rules has not seen: one text for each, if a gate opens for it."""
         held = df.select(F.col(f"`{doc_id}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
         held = held.withColumn("blob", blob_of("text"))
         unseen = held.groupBy("blob").agg(F.min("doc").alias("doc")).join(self.read("seen"), "blob", "left_anti")
         chosen = unseen.select(F.col("blob").alias("of"), F.col("doc").alias("holder"))
-        texts = held.join(chosen, (F.col("blob") == F.col("of")) & F.col("doc").eqNullSafe(F.col("holder")), "left_semi")
+        texts = held.where(suspect(F.col("text"), self.rules)).join(chosen, (F.col("blob") == F.col("of")) & F.col("doc").eqNullSafe(F.col("holder")), "left_semi")
         new = find(texts.select("blob", "text"), self.rules).distinct()
         stamp = F.lit(self.version).cast("int").alias("version")
         new.select(stamp, "blob", "number", "kind", "start", "end").write.mode("append").parquet(f"{self.path}/found")
@@ -122,12 +129,15 @@ def scan(df: DataFrame, ledger: Ledger, doc_id: str = "doc_id", text: str = "tex
     (default: all but one called `spans`).
     """
     ledger.update(df, doc_id, text)
-    own = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("spans", "__blob", "__part")]
-    rows = df.select(*(F.col(f"`{c}`") for c in own), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("__blob"),
+    own = [c for c in (df.columns if carry is None else carry) if c.lower() not in ("spans", "__blob", "__part", "__suspect")]
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = df.select(*(F.col(f"`{c}`") for c in own), F.sha2(whole, 256).alias("__blob"), suspect(whole, ledger.rules).alias("__suspect"),
                      F.pmod(F.xxhash64(f"`{doc_id}`"), F.lit(PARTS)).alias("__part"))
     found = ledger.findings().select(F.col("blob").alias("__blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint,kind:string,covered:bigint>>")
-    return rows.join(found, ["__blob", "__part"], "left").select(*(F.col(f"`{c}`") for c in own), F.coalesce("spans", none).alias("spans"))
+    carried = [F.col(f"`{c}`") for c in own]
+    held = rows.where("__suspect").join(found, ["__blob", "__part"], "left").select(*carried, F.coalesce("spans", none).alias("spans"))
+    return held.unionByName(rows.where("NOT __suspect").select(*carried, none.alias("spans")))
 
 
 def spelled(spans: Column) -> Column:

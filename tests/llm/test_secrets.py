@@ -52,7 +52,7 @@ def test_ledger_scans_unseen_blobs_only(spark, tmp_path):
     ledger = secrets.Ledger(spark, path)
     assert [r.s for r in secrets.scan(first, ledger).select(secrets.spelled(F.col("spans")).alias("s")).collect()] == ["assign:0:20"] * 3
     assert ledger.read("seen").count() == 1
-    second = secrets.Ledger(spark, path, rules=[secrets.Rule("none", "zzzz", "zzzz")])  # would find nothing, were it asked
+    second = secrets.Ledger(spark, path, rules=[secrets.Rule("none", "zzzz", "token|new")])  # would find nothing, were it asked
     again = second.spark.createDataFrame([(7, "token=abcdefghijklmn"), (8, "new")], "doc_id long, text string")
     rows = {r.doc_id: r.s for r in secrets.scan(again, second).select("doc_id", secrets.spelled(F.col("spans")).alias("s")).collect()}
     assert rows == {7: "assign:0:20", 8: ""} and ledger.read("seen").count() == 2
