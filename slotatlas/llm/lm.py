@@ -1,8 +1,8 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-Three steps. (1) Tasks over the documents count their distinct n-grams, hashed to 64 bits, and deal them by the leading
-bits of the hash: the parts of the count tables. (2) Each part adds up the corpus counts of its n-grams and gives every
-block of documents the counts of the n-grams that the block holds. (3) Blocks, dealt by hash of the document id, join
+Three steps. (1) Documents are dealt into blocks by hash of their id; each block counts its distinct n-grams, hashed to
+64 bits, and deals them by the leading bits of the hash: the parts of the count tables. (2) Each part adds up the corpus counts of its n-grams and gives every
+block of documents the counts of the n-grams that the block holds. (3) Blocks join
 the counts to the n-grams of their documents and sum the scores for each document.
 
 What travels are sorted, packed arrays of distinct n-grams: an n-gram that occurs everywhere is one entry for each
@@ -29,7 +29,7 @@ from slotatlas.llm.ngram_join import WORD
 #: Factor for each step down to a shorter n-gram.
 BACKOFF = 0.4
 #: Texts of about this size are counted together before they are handed on.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 32 << 20
 #: Entries a worker remembers before it starts anew. Has no influence on results.
 REMEMBERED = 500_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -201,8 +201,9 @@ def score(df: DataFrame, order: int = 2, held_out: bool = True, doc_id: str = "d
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
-    bits = max(2, math.ceil(math.log2(2 * parts)))
+    bits = max(2, math.ceil(math.log2(parts)))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(4 * parts)).cast("int"))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(2 * parts)).cast("int"))
     words = docs.agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0))).first()[0]
-    return score_blocks(docs, corpus_counts(count_parts(docs, order, bits)), order, words, held_out)
+    dealt = docs.repartition(parts, "block")  # shuffled once: counting and scoring read the same exchange
+    return score_blocks(dealt, corpus_counts(count_parts(dealt, order, bits)), order, words, held_out)
