@@ -36,13 +36,24 @@ def _any_of(words: list[str]) -> str:
 _MARK = "\x01"
 _ANCHOR = f"(?<= )(?={_any_of(ANCHORS)} )"
 _STOP, _CONTENT = f"{_MARK}[^ ]+ ", f"[^ {_MARK}][^ ]* "
-#: A chain skips so many anchors at most before each content word; this keeps the search linear in texts of anchors alone.
-MOST_SKIPPED = 8
-_SKIP = f"(?:{_STOP}){{0,{MOST_SKIPPED}}}+"
-_SPOT = f"(?<= )(?=({_STOP}{_SKIP}{_CONTENT}{_SKIP}{_CONTENT}))"
+#: All of a run of anchors, with the next two content words where there are as many. A match takes the whole run and the
+#: search goes on behind it, so no anchor is looked at more than a few times, however many stand in a row.
+_ANCHORS = f"(?:{_STOP})++"
+_SPOT = f"(?=({_ANCHORS}(?:{_CONTENT}(?:{_STOP})*+{_CONTENT})?+)){_ANCHORS}"
 _RUN = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+ ))"
 
 
+def _chains(run: Column) -> Column:
+    """`n` anchors of a run and `chains`, the hashes of its distinct anchors, each with the two content words; 0 and none without."""
+    def of(content: Column) -> Column:
+        anchors = F.split(F.rtrim(F.regexp_extract(run, f"^{_ANCHORS}", 0)), " ")
+        hashed = let(anchors, lambda a: F.struct(F.size(a).alias("n"), F.transform(
+            F.array_distinct(a), lambda x: F.xxhash64(F.concat(x, F.lit(" "), content))).alias("chains")))
+        return F.when(content != "", hashed).otherwise(F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("chains")))
+
+    return let(F.regexp_replace(run, _STOP, ""), of)
+
+
 def signatures(text: Column) -> Column:
     """Sorted set of hashed signatures. Never empty: a text with fewer than three words stands for itself.
 
@@ -50,12 +61,16 @@ def signatures(text: Column) -> Column:
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[\\x00-/:-`{-\\x7f]+", " ")), F.lit(" "))
     marked = F.regexp_replace(words, _ANCHOR, _MARK)
-    spots = F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1))
-    chains = F.transform(spots, lambda x: F.xxhash64(F.regexp_replace(x, f"(?<= ){_STOP}", "")))
+    spots = F.transform(F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1)), _chains)
     runs = F.transform(F.regexp_extract_all(words, F.lit(_RUN), F.lit(1)), lambda x: F.xxhash64(x, F.lit(3)))
-    return let(chains, lambda c: F.when(F.size(c) >= LEAST_SPOTS, F.array_sort(F.array_distinct(c))).otherwise(
-        let(F.concat(c, runs), lambda few: F.array_sort(F.array_distinct(
-            F.when(F.size(few) > 0, few).otherwise(F.array(F.xxhash64(text, F.lit(1)))))))))
+
+    def chosen(s: Column) -> Column:
+        chains, n = F.flatten(s["chains"]), F.aggregate(s["n"], F.lit(0), lambda a, x: a + x)
+        return F.when(n >= LEAST_SPOTS, F.array_sort(F.array_distinct(chains))).otherwise(
+            let(F.concat(chains, runs), lambda few: F.array_sort(F.array_distinct(
+                F.when(F.size(few) > 0, few).otherwise(F.array(F.xxhash64(text, F.lit(1))))))))
+
+    return let(spots, chosen)
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from slotatlas.llm import spotsigs
@@ -34,6 +37,28 @@ def test_chains_skip_common_words(spark):
     assert both
 
 
+def test_runs_of_anchors_of_any_length_lose_no_chain(spark):
+    rng = random.Random(4)
+    texts = ["the " + "of " * k + "cat " + "in a " * k + "house by far sea" for k in (1, 8, 9, 30, 70_000)]
+    texts += [" ".join(rng.choice(["the", "of", "und", "la", "x", "yy", "zoo"]) for _ in range(n)) for n in (40, 400, 4000)]
+    texts += ["far cat " + "the of " * 100_000 + "end", "far cat " + "the " * 1000 + "end now", "the " * 5 + "cat sat " + "z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    signed = lambda text, seed: xxhash.xxh64_intdigest(text.encode(), seed)
+    for k, text in enumerate(texts):
+        words, after, want, n = text.split(), [], set(), 0
+        for w in reversed(words):
+            if w not in spotsigs.ANCHORS:
+                after = [w, *after][:2]
+            elif len(after) == 2:
+                want.add(signed(f"\x01{w} {after[0]} {after[1]} ", 42))
+                n += 1
+        if n < spotsigs.LEAST_SPOTS:
+            assert want <= {x % 2 ** 64 for x in got[k]} and k == 8
+        else:
+            assert {x % 2 ** 64 for x in got[k]} == want
+
+
 def test_repeated_rows_one_row_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a")], "doc_id long, text string")
     assert spotsigs.compare(df).count() == 3
