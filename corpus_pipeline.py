@@ -19,10 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies: the one with the smallest id."""
-    joined = ngram_join.join(docs, n=5, threshold=0.8, recall=0.9999)
-    first = joined.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of copies and near copies: the one with the smallest id, if any has one."""
+    return ngram_join.firsts(docs.select(COLUMNS), n=5, threshold=0.8, recall=0.9999)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

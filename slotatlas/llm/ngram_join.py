@@ -3,7 +3,8 @@
 MinHash banding with bands and rows chosen for a target recall: documents meet where all rows of a band agree, and
 every pair that meets is verified on the full n-gram sets.
 
-- Texts with equal n-gram sets form a class; only its representative (the smallest id) goes on.
+- Texts with equal n-gram sets form a class, keyed by a digest of the set. Only its representative (the row with the
+  smallest id; rows without id come last) goes on. Ids are payload: they may be null or repeated.
 - A band hash of one representative alone is dropped. The others gather in homes, around the band hash that they share
   with most, and homes are cut into blocks of about BLOCK members by hash. Two blocks are paired when some band hash
   has members of both. So a text travels once for each pair of blocks it belongs to, not once for each band or
@@ -24,7 +25,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,8 @@ LARGE = 2000
 REMEMBERED = 500_000
 #: N-gram columns multiplied at a time.
 COLUMNS = 8192
+#: Columns that make and order the nodes of links: rows with an id first, by id, then by the digest of the n-gram set.
+NODE = ["no_id", "id", "set_key"]
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -118,32 +121,32 @@ def signatures(df: DataFrame, n: int, bands: int, rows: int, text: str = "text")
 
 
 def settled(met: DataFrame, rounds: int = 2) -> DataFrame:
-    """(rep, home): those that meet gather in few homes.
+    """(set_key, home): those that meet gather in few homes.
 
     The first home of a representative is the bucket that it shares with most others. In each round, all of a home move
     to the largest home that any of them shares a bucket with, so that the scattered rest of a group joins its core.
     """
-    home = met.groupBy("rep").agg(F.max(F.struct("members", "bucket")).alias("top")).select("rep", F.col("top.bucket").alias("home"))
+    home = met.groupBy("set_key").agg(F.max(F.struct("members", "bucket")).alias("top")).select("set_key", F.col("top.bucket").alias("home"))
     for _ in range(rounds):
         home = materialize(home, "home")
         size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-        seen = met.select("bucket", "rep").join(home.join(size, "home"), "rep")
+        seen = met.select("bucket", "set_key").join(home.join(size, "home"), "set_key")
         largest = seen.groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("to"))
         moves = seen.select("bucket", "home").distinct().join(largest, "bucket").groupBy("home").agg(F.max("to").alias("to"))
-        home = home.join(moves, "home").select("rep", F.col("to.home").alias("home"))
+        home = home.join(moves, "home").select("set_key", F.col("to.home").alias("home"))
     return home
 
 
 def block_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, block) for representatives that meet another one, and the pairs of blocks to verify (low <= high)."""
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
+    """(set_key, block) for representatives that meet another one, and the pairs of blocks to verify (low <= high)."""
+    buckets = reps.select("set_key", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = materialize(buckets.join(shared, "bucket"), "met")
     home = settled(met)
     size = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("size") / BLOCK))
-    blocks = materialize(home.join(size, "home").select("rep", F.xxhash64("home", part).alias("block")), "blocks")
-    touched = met.select("bucket", "rep").join(blocks, "rep").select("bucket", "block").distinct()
+    part = F.pmod(F.xxhash64("set_key", F.lit(1)), F.ceil(F.col("size") / BLOCK))
+    blocks = materialize(home.join(size, "home").select("set_key", F.xxhash64("home", part).alias("block")), "blocks")
+    touched = met.select("bucket", "set_key").join(blocks, "set_key").select("bucket", "block").distinct()
     pairs = touched.alias("a").join(touched.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") <= F.col("b.block")))
     return blocks, pairs.select(F.col("a.block").alias("low"), F.col("b.block").alias("high")).distinct()
 
@@ -183,7 +186,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
 
 
 def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges to the smallest id of each component of the links between two lists of ids."""
+    """Edges to the smallest number of each component of the links between two lists of numbers."""
     label = {int(x): int(x) for x in [*left, *right]}
 
     def root(x: int) -> int:
@@ -199,31 +202,37 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[t
 
 
 def verify(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows `rep, links, parent`: links found in one pair of blocks, and the edge of its forest (null: none)."""
+    """Rows `no_id, id, set_key, links, to_no_id, to_id, to_set_key`: links found in one pair of blocks, and the edge of its
+    forest (to itself: none)."""
     both = [F.struct("low", "high", F.col(x).alias("block")) for x in ("low", "high")]
     sides = pairs.select(F.explode(F.array_distinct(F.array(*both))).alias("pair")).select("pair.*")
-    dealt = texts.join(sides, "block").select("low", "high", "block", "rep", "copies", "text")
+    dealt = texts.join(sides, "block").select("low", "high", "block", *NODE, "copies", "text")
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
         grams_of = NGrams(n)
-        rows = rows.sort_values("rep", kind="stable", ignore_index=True).drop_duplicates(["rep", "text"], ignore_index=True)
+        rows = rows.sort_values(NODE, kind="stable", ignore_index=True)
         sets = [grams_of(x) for x in rows["text"]]
         low = (rows["block"] == rows["low"]).to_numpy()
         one = bool((rows["low"] == rows["high"]).all())
-        ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
+        copies = rows["copies"].to_numpy()
         a, b = np.flatnonzero(low), np.flatnonzero(low if one else ~low)
         found = linked([sets[k] for k in a], [sets[k] for k in b], threshold)
         if one:
-            found &= ids[a][:, None] != ids[b][None, :]
+            np.fill_diagonal(found, False)
         links = np.zeros(len(rows), np.int64)
         links[a] += found @ copies[b]
         if not one:
             links[b] += found.T @ copies[a]
-        parent = dict(forest(found, ids[a], ids[b]))
-        keep = links > 0
-        return pd.DataFrame({"rep": ids[keep], "links": links[keep], "parent": pd.array([parent.get(int(x)) for x in ids[keep]], "Int64")})
+        parent = np.arange(len(rows))
+        for x, y in forest(found, a, b):
+            parent[x] = y
+        keep = np.flatnonzero(links > 0)
+        to = rows[NODE].iloc[parent[keep]].add_prefix("to_").reset_index(drop=True)
+        return pd.concat([rows[NODE].iloc[keep].reset_index(drop=True), pd.DataFrame({"links": links[keep]}), to], axis=1)
 
-    return dealt.groupBy("low", "high").applyInPandas(check, "rep long, links long, parent long")
+    node = [texts.schema[c] for c in NODE]
+    to = [T.StructField(f"to_{f.name}", f.dataType) for f in node]
+    return dealt.groupBy("low", "high").applyInPandas(check, T.StructType([*node, T.StructField("links", T.LongType()), *to]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,33 +260,63 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
-def join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `df`: `doc_id, copy_of, class_id, n_links`.
+def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Add `no_id, id, text_key`, never null: whether the id is missing, the id (any value if it is), and a digest of the text."""
+    id_type = df.select(F.col(f"`{doc_id}`")).schema[0].dataType
+    return df.select("*", F.col(f"`{doc_id}`").isNull().alias("no_id"), F.coalesce(F.col(f"`{doc_id}`"), F.lit("0").cast(id_type)).alias("id"),
+                     F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("text_key"))
+
+
+def id_of(node: str = "") -> Column:
+    return F.when(~F.col(f"{node}no_id"), F.col(f"{node}id"))
 
-    `copy_of` is the smallest id with the same n-gram set, `class_id` the smallest id of the group connected by links,
-    `n_links` the number of other rows with a similarity of at least the threshold (copies included). Texts without
-    words (null, empty, blank) count as copies of each other. Rows that repeat an id with the same text count as copies;
-    if their texts differ, the id is one node with the links of all of them. An empty table gives an empty result.
+
+def classify(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (`no_id, id, text_key, set_key`) of (doc_id, text), and the classes of equal n-gram sets.
+
+    A class has `set_key, copies, n_links`, its representative `first` (a row's no_id, id, text_key) and the node `root` of
+    its group: no_id, id and set_key of the group's first class.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = keyed(docs, "doc_id", "text").drop("doc_id")
     bands, rows = choose_bands(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
-    first = F.min(F.struct("doc_id", "bands"))
-    reps = signed.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).select(
-        "set_key", F.col("first.doc_id").alias("rep"), F.col("first.bands").alias("bands"), "copies")
+    first = F.min(F.struct("no_id", "id", "text_key", "bands"))
+    reps = signed.groupBy("set_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).select("set_key", "first.*", "copies")
     reps = materialize(reps, "representatives")
     blocks, pairs = block_pairs(reps)
-    wanted = blocks.join(reps.select("rep", "copies"), "rep")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
+    wanted = blocks.join(reps.drop("bands"), "set_key")
+    row = ["no_id", "id", "text_key"]
+    texts = docs.join(wanted, row).dropDuplicates(row)  # equal rows have equal texts: one of them is enough
     found = materialize(verify(texts, pairs, n, threshold), "links")
-    roots = components(found.where("parent is not null").select(F.col("rep").alias("a"), F.col("parent").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = materialize(reps.select("set_key", "rep", "copies").join(counts, "rep", "left").join(
-        roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", "copies", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    roots = components(found.select(F.struct(*NODE).alias("a"), F.struct(*(F.col(f"to_{c}").alias(c) for c in NODE)).alias("b")))
+    counts = found.groupBy("set_key").agg(F.sum("links").alias("links"))
+    classes = reps.join(counts, "set_key", "left").join(roots.select(F.col("node.set_key").alias("set_key"), "root"), "set_key", "left")
+    classes = classes.select("set_key", "copies", F.struct(*row).alias("first"), F.coalesce("root", F.struct(*NODE)).alias("root"),
+                             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.drop("bands", "n_grams"), materialize(classes, "classes")
+
+
+def firsts(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `df` for each group of copies and near copies: the one with the smallest id, one without id where no row has one."""
+    signed, classes = classify(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, threshold, recall)
+    row = ["no_id", "id", "text_key"]
+    kept = classes.where(F.col("root.set_key") == F.col("set_key")).select("first.*")
+    return keyed(df, doc_id, text).join(kept, row, "left_semi").dropDuplicates(row).select(df.columns)
+
+
+def join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of `df`: `doc_id, copy_of, class_id, n_links`.
+
+    `copy_of` is the smallest id with the same n-gram set, `class_id` the smallest id of the group connected by links
+    (null only where no row has an id), `n_links` the number of other rows with a similarity of at least the threshold
+    (copies included). Texts without words (null, empty, blank) count as copies of each other. Rows are told apart by
+    their n-gram sets, whatever their ids: rows that repeat an id, or have none, have the links of their own text. An
+    empty table gives an empty result.
+    """
+    signed, classes = classify(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, threshold, recall)
+    classes = classes.select("set_key", "copies", id_of("first.").alias("copy_of"), id_of("root.").alias("class_id"), "n_links")
     # a class may hold a third of all rows: classes of more than `many` rows, LARGE at most, are broadcast
-    members, result = signed.select("doc_id", "set_key"), ["doc_id", "copy_of", "class_id", "n_links"]
+    members, result = signed.select(id_of().alias("doc_id"), "set_key"), ["doc_id", "copy_of", "class_id", "n_links"]
     many = max(1000, signed.count() // LARGE)
     large = F.broadcast(classes.where(F.col("copies") > many).drop("copies"))
     rest = members.join(large.select("set_key"), "set_key", "left_anti").join(classes.where(F.col("copies") <= many), "set_key")

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from slotatlas.llm import ngram_join
 from tests.llm import brute
 
@@ -50,6 +52,33 @@ def test_repeated_rows_and_empty_table(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_documents(spark):
+    rng = random.Random(8)
+    text = lambda n=60: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    base, alone, other, third = text(), text(), text(), text()
+    big = 2 ** 60 + 1  # no float
+    rows = [(None, base), (9, base), (7, base), (8, [*base, "near"]), (None, alone), (big, other), (big, third), (None, [*third, "near"]), (big, other)]
+    rows += [(None, ["x", *alone]), (3, text(2)), (None, None)]
+    df = spark.createDataFrame([(i, t and " ".join(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted((r.doc_id or -1, r.copy_of or -1, r.class_id or -1, r.n_links) for r in ngram_join.join(df.drop("k")).collect())
+    assert got == sorted([(-1, 7, 7, 3), (9, 7, 7, 3), (7, 7, 7, 3), (8, 8, 7, 3), (-1, -1, -1, 1), (-1, -1, -1, 1), (big, big, big, 1),
+                          (big, big, big, 1), (big, big, big, 1), (-1, -1, big, 1), (3, 3, 3, 0), (-1, -1, -1, 0)])
+    kept = ngram_join.firsts(df).collect()
+    assert len(kept) == 6 and {r.k for r in kept} - {4, 5, 8, 9} == {2, 6, 10, 11}
+    assert len({r.k for r in kept} & {4, 9}) == len({r.k for r in kept} & {5, 8}) == 1
+    names = ngram_join.join(df.withColumn("doc_id", F.concat(F.lit("n"), "k"))).collect()
+    assert {r.doc_id: r.class_id for r in names}["n2"] == "n0"
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rows = [(None, "alone stands this text here today"), (5, "one text of the id five is"), (5, "something else has the same id"),
+            (None, "a copy with and without id"), (6, "a copy with and without id"), (7, "a copy with and without id")]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, df, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {*rows[:3], rows[4]}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = ngram_join.choose_bands(threshold, recall)
