@@ -21,7 +21,7 @@ PARTS = 16
 
 
 class Rule(NamedTuple):
-    """A pattern without look-around; `gate` is a cheap pattern that every text with a match contains."""
+    """A pattern, without look-around if it has a least length; `gate` is a cheap pattern that every text with a match contains."""
 
     kind: str
     pattern: str
@@ -44,10 +44,11 @@ FURTHER = [
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", r"AIza"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,64}PRIVATE KEY-----", r"PRIVATE KEY-----"),
-    Rule("url", r"[a-z]{2,12}://[A-Za-z0-9._~%+-]{1,64}:[A-Za-z0-9._~%!$&*+-]{3,128}@", r"://[A-Za-z0-9._~%+-]{1,64}:"),
+    # from the start of a run of scheme characters, so that a long run is read once
+    Rule("url", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[A-Za-z0-9._~%+-]++:[A-Za-z0-9._~%!$&*+-]{3,}+@", r"://[A-Za-z0-9._~%+-]++:"),
 ]
 RULES = BASE + FURTHER
-RULES_VERSION = 1
+RULES_VERSION = 3
 FOUND = "version int, blob string, number int, kind string, start long, end long"
 SEEN = "version int, blob string"
 

@@ -30,6 +30,17 @@ def test_base_spans_against_brute_force(spark, tmp_path):
         assert r.s == brute.spelled(brute.secret_spans(texts[r.doc_id] or "")), texts[r.doc_id][:80]
 
 
+def test_urls_with_long_credentials_and_any_scheme(spark, tmp_path):
+    urls = ["https://x:" + "tok3n" * 60 + "@", "https://" + "u" * 100 + ":" + "p" * 129 + "@", "postgresql+psycopg2://me:pa55@", "s3://key:word@",
+            "customdatabasedriver://me:pa55@", "ftp://user:pa55word@"]
+    texts = [f"see {u}host/x" for u in urls] + ["1234://me:pa55@host", "a1" * 500_000 + " ftp://me:", "http://me:pw@host"]
+    df = scanned(spark, str(tmp_path / "u"), texts)
+    rows = {r.doc_id: r for r in df.select("doc_id", F.filter("spans", lambda s: s["kind"] == "url").alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for k, u in enumerate(urls):
+        assert [(s.start, s.end) for s in rows[k].s] == [(4, 4 + len(u))] and rows[k].t == "see [secret]host/x"
+    assert not rows[6].s and not rows[7].s and not rows[8].s
+
+
 def test_further_kinds_and_masks(spark, tmp_path):
     df = scanned(spark, str(tmp_path / "b"), TEXTS)
     rows = {r.doc_id: r for r in df.select("doc_id", secrets.spelled(F.col("spans")).alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
