@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over the words of a text.
 
 A text is reduced to its words (ASCII letters in lower case, digits, everything beyond ASCII). Rules are regular
-expressions over the words, gated by a keyword: only rules whose keyword occurs in the text are tried. Each match is an
+expressions over the words, gated by a keyword: only rules whose keyword occurs in the words, alone or inside one, are tried. Each match is an
 interval of words with the rule's priority. An interval inside another one of a higher priority, or of the same
 priority and at least its length, is suppressed; what is left names the licenses.
 """
@@ -41,7 +41,7 @@ VERSIONED = [
     ("gfdl", "documentation", ["gnu free documentation license", "free documentation license"], ["1 1", "1 2", "1 3"]),
     ("apache", "apache", ["apache license", "apache software license", "apache"], ["1 0", "1 1", "2", "2 0"]),
     ("mpl", "mozilla", ["mozilla public license"], ["1 0", "1 1", "2", "2 0"]),
-    ("mpl", "mpl", ["mpl"], ["1 0", "1 1", "2 0"]),
+    ("mpl", "mpl", ["mpl"], ["1 0", "1 1", "2", "2 0"]),
     ("epl", "eclipse", ["eclipse public license"], ["1 0", "2 0"]),
     ("epl", "epl", ["epl"], ["1 0", "2 0"]),
     ("cddl", "cddl", ["cddl"], ["1 0", "1 1"]),
@@ -58,6 +58,8 @@ VERSIONED = [
     ("lppl", "latex", ["latex project public license"], ["1 2", "1 3"]),
     ("odbl", "database", ["open database license"], ["1 0"]),
 ]
+#: Between a name and its version, which may be glued to it: "gpl version 3", "gpl v 3", "gpl v3", "gpl 3", "gplv3".
+TO_VERSION = "(?: (?:version |v )?v?|v)"
 PARTS = {"by": "attribution", "nc": "noncommercial", "nd": "no ?derivatives|noderivs", "sa": "share ?alike"}
 CREATIVE = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"]
 CREATIVE_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
@@ -76,8 +78,8 @@ PHRASES = [
     ("public-domain", "domain", r"public domain"), ("proprietary", "proprietary", r"proprietary and confidential"),
     ("proprietary", "reproduction", r"no part of this \S+ may be reproduced"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)"),
-    ("copyright", "copyright", r"copyright (?:c |© )?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
-    ("copyright", "©", r"© (?:19|20)\d\d(?: (?:19|20)\d\d)*"),
+    ("copyright", "copyright", r"copyright (?:c |© ?)?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
+    ("copyright", "©", r"© ?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
     ("gpl", "gpl", r"gpl"), ("gpl", "gnu", r"gnu gpl"), ("lgpl", "lgpl", r"lgpl"), ("agpl", "agpl", r"agpl"),
     ("apache", "apache", r"apache licen[cs]e"), ("mpl", "mozilla", r"mozilla public licen[cs]e"),
 ]
@@ -108,13 +110,13 @@ def rules() -> list[Rule]:
         for name in names:
             for version in versions:
                 dashed = version.replace(" ", ".")
-                add(f"{label}-{dashed}", 30, keyword, rf"{name} (?:version |v )?v?{version}(?: only| or later| or any later version)?")
-            add(f"{label}-or-later", 20, keyword, rf"{name} (?:version |v )?\S+ (?:or (?:at your option )?)?(?:any )?later")
+                add(f"{label}-{dashed}", 30, keyword, rf"{name}{TO_VERSION}{version}(?: only| or later| or any later version)?")
+            add(f"{label}-or-later", 20, keyword, rf"{name}{TO_VERSION}\S+ (?:or (?:at your option )?)?(?:any )?later")
             add(label, 10, keyword, rf"(?:licensed under|released under|under the terms of|distributed under)(?: the)? {name}")
     for terms in CREATIVE:
         label, spelled = "cc-" + terms.replace(" ", "-"), " ".join(f"(?:{PARTS[t]})" for t in terms.split())
         for version in CREATIVE_VERSIONS:
-            add(f"{label}-{version.replace(' ', '.')}", 30, "cc", rf"cc {terms} (?:version |v )?{version}")
+            add(f"{label}-{version.replace(' ', '.')}", 30, "cc", rf"cc {terms}{TO_VERSION}{version}")
             add(f"{label}-{version.replace(' ', '.')}", 30, "creative", rf"creative commons {spelled} {version}(?: international| unported| generic)?(?: licen[cs]e)?")
         add(label, 20, "cc", rf"cc {terms}")
         add(label, 20, "creative", rf"creative commons {spelled}")
@@ -133,11 +135,12 @@ class Detection(NamedTuple):
     label: str
 
 
-def detect(normal: bytes, words: set[bytes], order: list[Rule]) -> Iterator[Detection]:
+def detect(normal: bytes, order: list[Rule]) -> Iterator[Detection]:
     """Matches of rules in words joined by single blanks, as intervals of words (ends exclusive)."""
     blanks = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
+    open_ = {k for k in {rule.keyword for rule in order} if k in normal}  # inside a word too: "gplv3"
     for rule in order:
-        if rule.keyword in words:
+        if rule.keyword in open_:
             for m in rule.pattern.finditer(normal):
                 start = int(np.searchsorted(blanks, m.start()))
                 yield Detection(start, start + m[0].count(b" ") + 1, rule.priority, rule.label)
@@ -187,7 +190,7 @@ def summary(text: str | None, order: list[Rule], keywords: tuple[bytes, ...]) ->
     words = WORD.findall(low)
     normal = b" ".join(words)
     base = places(normal)
-    kept = surviving(list(detect(normal, set(words), order)))
+    kept = surviving(list(detect(normal, order)))
     starts, base_labels = [s for s, _ in base], {label for _, label in base}
     longest = max((d.end - d.start for d in kept), default=0)
     return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)),

@@ -53,3 +53,14 @@ def test_containment_by_priority():
     d = licenses.Detection
     kept = licenses.surviving([d(0, 5, 10, "a"), d(1, 3, 10, "b"), d(1, 3, 20, "c"), d(4, 8, 5, "e"), d(2, 3, 5, "f"), d(0, 5, 10, "g")])
     assert {x.label for x in kept} == {"a", "c", "e", "g"}
+
+
+def test_glued_versions_and_years():
+    order = licenses.rules()
+    keywords = tuple(sorted({r.keyword for r in order}, key=len))
+    labels = lambda text: licenses.summary(text, order, keywords)[5].split(",")
+    for text, label in (("GPLv3", "gpl-3"), ("under LGPLv2.1 here", "lgpl-2.1"), ("AGPLv3", "agpl-3"), ("MPLv2.0", "mpl-2.0"), ("MPLv2", "mpl-2"),
+                        ("\u00a92024 Someone", "copyright"), ("Copyright \u00a92023-2024", "copyright"), ("GPL v3", "gpl-3"), ("GPL 3", "gpl-3"),
+                        ("GPL version 3", "gpl-3"), ("CC BYv4.0", "cc-by-4.0"), ("\u00a9 2024", "copyright")):
+        assert label in labels(text), text
+    assert "gpl-or-later" in labels("GPLv9 or later") and labels("agplvx mplv mpl2 x\u00a92024") == [""]
