@@ -1,9 +1,10 @@
 """WARC archives of pages, and a merged index of their captures.
 
 Writing goes through Spark's own writer, as each record is text that ends in a line feed: any file system that Spark
-can reach will do. A file is one gzip stream with a bounded number of records, sorted by URL key and time: a run.
+can reach will do. A file is one gzip stream with a bounded number of records, sorted by URL without scheme and id: a run.
 Reading parses whole records by their lengths, so payloads may contain anything, record headers too. The index of all
-runs is dealt into ranges of (URL key, time, id), and each range is merged from its sorted runs with a loser tree; a
+runs is dealt into ranges of (URL key, time, id), and each range's runs are
+sorted again by that key in memory (whole range) and merged with a loser tree; a
 URL captured very often is spread over several ranges.
 """
 
