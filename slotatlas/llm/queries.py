@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotatlas.llm import bpe, licenses, lm, ngram_join, packing, quality, secrets, sharding, spotsigs, warc
+from slotatlas.llm import bpe, licenses, lm, ngram_join, packing, pieces, quality, secrets, sharding, spelling, spotsigs, trie, warc
 from slotatlas.llm.common import materialize, table
 from slotatlas.session import run_dir
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -93,3 +94,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = materialize(spelling.counted(table(spark, sf_dir, "documents"), shortest=6, least=5), "words")
+    return spelling.variants(words, factor=5)
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.encode(docs, PIECES, end=True, spans="spans", spelled="spelled", decoded="decoded")
+    return both.select("doc_id", "n_tokens", F.sha2("spelled", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.sha2("spans", 256).alias("spans_sha256"))
+
+
+@query("op13_conversation_trie")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))

@@ -7,6 +7,7 @@ import zlib
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -29,7 +30,7 @@ def run(spark, key):
 def test_all_are_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_op1(spark, docs):
@@ -95,6 +96,28 @@ def test_op9(spark):
         assert (rows[i].payload_bytes, rows[i].payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
 
 
+def test_op11(spark, docs):
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in run(spark, "op11_spelling_variants")}
+    assert got == brute.spelling_forms(brute.spelling_counts(docs))
+
+
+def test_op12(spark, docs):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = run(spark, "op12_sentencepiece")
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = library.encode(docs[r.doc_id] or "", add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(library.decode(ids)))
+
+
+def test_op13(spark):
+    table = pq.read_table(f"{SF_DIR}/conversations.parquet").to_pydict()
+    want = brute.trie(brute.rebuilt(zip(*(table[c] for c in ("conv_id", "turn", "role", "text")))))
+    got = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256)
+           for r in run(spark, "op13_conversation_trie")}
+    assert got == want
+
+
 def packed_right(rows, texts):
     """Pieces cover every document's ids, and sequences have no gaps."""
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
