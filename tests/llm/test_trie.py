@@ -41,7 +41,7 @@ def test_conversations_without_turns_and_without_donor(spark):
 
 
 def test_one_long_conversation_and_many_equal_ones(spark):
-    rows = [(0, t, "user", f"word {t % 7} " * (t % 3)) for t in range(3000)] + [(c, t, "user", "same") for c in range(1, 2000) for t in range(2)]
+    rows = [(0, t, "user", f"word {t % 7} " * (t % 3)) for t in range(150)] + [(c, t, "user", "same") for c in range(1, 400) for t in range(2)]
     assert run(spark, rows) == brute.trie(brute.rebuilt(rows))
 
 
