@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +16,10 @@ REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def _named() -> Column:
-    """Names of the standard's table; nbsp is a blank here."""
-    names = {**name2codepoint, "apos": 39, "nbsp": 32}
-    return F.create_map(*[F.lit(x) for name, code in sorted(names.items()) for x in (name, chr(code))])
+    """Names of the standard's table that end in a semicolon; nbsp is a blank here. One literal, looked up as a map."""
+    names = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
+    spelled = "\x01".join(f"{name}\x02{text}" for name, text in sorted(names.items()))
+    return F.str_to_map(F.lit(spelled), F.lit("\x01"), F.lit("\x02"))
 
 
 def _character(ref: Column) -> Column:
@@ -49,21 +50,44 @@ def squash(c) -> Column:
     return F.trim(F.regexp_replace(col(c), r"[\s ]+", " "))
 
 
+def up_to_last(c, closer: str, edit) -> Column:
+    """``edit`` applied to the text up to the last ``closer`` (lower case; found in any case).
+
+    What follows holds no whole element, so a search that starts at an open tag always ends at a closing one: many open
+    tags without an end cost no more than any other text.
+    """
+    letters = "".join(sorted({x for x in closer if x.isalpha()}))
+
+    def split(t: Column) -> Column:
+        lowered = F.translate(t, letters.upper(), letters) if letters else t
+        return let(F.length(F.substring_index(lowered, closer, -1)), lambda rest: F.when(
+            rest == F.length(t), t).otherwise(F.concat(edit(F.left(t, F.length(t) - rest)), F.right(t, rest))))
+    return let(col(c), split)
+
+
+def without_element(c, tag: str) -> Column:
+    """Elements with the tag become a blank, with all they hold."""
+    return up_to_last(c, f"</{tag}>", lambda t: F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " "))
+
+
+def without_tags(c, by: str = " ") -> Column:
+    return up_to_last(c, ">", lambda t: F.regexp_replace(t, r"<[^>]+>", by))
+
+
 def inner_text(c) -> Column:
     """Tags and white space to single blanks, entities decoded."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(col(c), r"<[^>]+>", " "), r"[\s\u00a0]+", " "))
+    plain = F.trim(F.regexp_replace(without_tags(c), r"[\s\u00a0]+", " "))
     return let(plain, lambda t: F.when(F.contains(t, F.lit("&")), squash(_decode(t))).otherwise(t))
 
 
 def strip_tags(c) -> Column:
     """Visible text: no script or style content, tags to spaces, entities decoded."""
-    text = F.regexp_replace(col(c), r"(?is)<script[^>]*>.*?</script>", " ")
-    return inner_text(F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " "))
+    return inner_text(without_element(without_element(c, "script"), "style"))
 
 
 def rendered_text(c) -> Column:
     """Second text rendering: like ``strip_tags``, and without noscript content."""
-    return strip_tags(F.regexp_replace(col(c), r"(?is)<noscript[^>]*>.*?</noscript>", " "))
+    return strip_tags(without_element(c, "noscript"))
 
 
 def html_escape(c) -> Column:

@@ -140,18 +140,26 @@ def _named(text: Column, day: Column, single_ok: bool) -> Column:
     return F.when(text.rlike(H.RANGE), ranged()).otherwise(single()) if single_ok else F.when(text.rlike(H.RANGE), ranged())
 
 
+#: Tags that end a heading when they open inside it.
+BLOCKS = "h[1-6]|p|div|li|ul|ol|dl|dt|dd|table|tr|td|th|section"
+
+
 def heading_slots(html, single_ok: bool = True, max_blocks: int | None = None) -> Column:
     """A day heading, then all blocks (or the first ``max_blocks``) until the next heading.
 
-    The day may stand inside further tags and with a date behind it, but not with a range of clock times.
+    The day may stand inside further tags, with a date or any other text and tags behind it, but not with a range of
+    clock times.
     """
     inner = r"(?:\s|<(?!/)[^>]+>)*+"
-    heading = rf"<(?:h[1-6]|strong|b|dt|th)\b[^>]*>{inner}{H.DAY}(?![^<]*{H.CLOCK}\s*[-–—])[^<]{{0,40}}</"
+    inline = rf"[^<]*+(?:<(?!/|(?:{BLOCKS})\b)[^>]*+>[^<]*+)*+"
+    heading = rf"<(?:h[1-6]|strong|b|dt|th)\b[^>]*>{inner}{H.DAY}(?![^<]*{H.CLOCK}\s*[-–—]){inline}</"
     pieces = F.filter(H.cut_before(html, heading), lambda p: p.rlike(rf"(?is)^{heading}"))
 
     def piece(p):
         day = day_normalize(F.regexp_extract(p, rf"(?is)^<[^>]*>{inner}([^<]*)", 1))
-        body = F.regexp_replace(F.regexp_replace(p, rf"(?is)^<[^>]*>{inner}[^<]*(?:</[^>]*>)++", ""), r"(?is)<h[1-6]\b.*$", "")
+        # what the heading holds ends at its own closing tag; without one, at the first closing tags
+        head = rf"(?is)^<([a-z0-9]+)[^>]*>(?:.*?</\1\s*>|{inner}{inline}(?:</[^>]*>)++)"
+        body = F.regexp_replace(F.regexp_replace(p, head, ""), r"(?is)<h[1-6]\b.*$", "")
         blocks = H.leaves(body, "p|li|div|span|dd|td")
         blocks = F.slice(blocks, 1, max_blocks) if max_blocks else blocks
         return let(day, lambda d: F.transform(blocks, lambda t: _named(t, d, single_ok)))
@@ -185,18 +193,23 @@ def block_slots(html, default: str = "Class", longest: int | None = None) -> Col
     return F.transform(H.leaves(html, "div|li|p|span|dd"), block)
 
 
-_DAY_LINE = rf"^(?![^\n]*\d[:.h]\d{{2}})[^\n]{{0,14}}{H.DAY}[^\n]{{0,14}}$"
+def _day_line(around: int | None) -> str:
+    """A line that names a day and no clock time, with up to ``around`` characters on each side of the day."""
+    side = rf"[^\n]{{0,{around}}}" if around is not None else r"[^\n]*"
+    return rf"^(?![^\n]*\d[:.h]\d{{2}}){side}{H.DAY}{side}$"
 
 
-def line_slots(text, longest: int | None = None, name_longest: int | None = None, teacher_longest: int | None = None) -> Column:
+def line_slots(text, longest: int | None = None, name_longest: int | None = None, teacher_longest: int | None = None,
+               around_day: int | None = None) -> Column:
     """Line by line: a day line sets the day, a line with a range emits a slot.
 
     The name is the text before or after the range, else the previous or next
     line; the teacher is what follows. A single clock counts only next to a
-    topic word. Noise lines never become names. Lines, names from other lines and
-    teachers may be limited in length; they are not by default.
+    topic word. Noise lines never become names. Lines, names from other lines,
+    teachers and what stands around a day may be limited in length; they are not by default.
     """
-    pieces = F.filter(H.cut_before(text, _DAY_LINE), lambda p: p.rlike(rf"(?im)\A{_DAY_LINE}"))
+    day_line = _day_line(around_day)
+    pieces = F.filter(H.cut_before(text, day_line), lambda p: p.rlike(rf"(?im)\A{day_line}"))
     span = r"\d{1,2}[.:h]\d{2}\s*[-–—]\s*\d{1,2}[.:h]\d{2}"
 
     def usable(t, most):
@@ -239,7 +252,7 @@ def line_slots(text, longest: int | None = None, name_longest: int | None = None
 
 def day_block_slots(html) -> Column:
     """Any element that names a day sets it; the divs with a range below emit."""
-    marker = rf"<[a-z][a-z0-9]*\b[^>]*>[^<\d]{{0,40}}{H.DAY}[^<\d]{{0,40}}</"
+    marker = rf"<[a-z][a-z0-9]*\b[^>]*>[^<\d]*{H.DAY}[^<\d]*</"
     pieces = F.filter(H.cut_before(html, marker), lambda p: p.rlike(rf"(?is)^{marker}"))
 
     def piece(p):
@@ -281,16 +294,19 @@ def text_before_slots(text, chars: int = 100) -> Column:
     days = "|".join(R.DAYS)
     rx = rf"(?i)(?:{days})s?\s*[@at]*\s*\d{{1,2}}:\d{{2}}"
 
+    def hit(h, before):
+        # the last sentence chunk of the text between two hits; the window reaches back over earlier hits too
+        name = F.trim(F.element_at(F.split(F.trim(F.right(before, F.lit(chars))), r"[.!?]", -1), -1))
+        return slot(day_normalize(h), F.regexp_extract(h, r"(\d{1,2}:\d{2})", 1), None, name)
+
     def scan(hits, pieces):
-        def hit(h, i):
-            # The window before hit i: the tail of the pieces and hits so far.
-            upto = F.length(F.get(pieces, i)) + F.aggregate(
-                F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
-                F.slice(hits, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-            context = F.substring(col(text), F.greatest(upto - chars, F.lit(0)) + 1, F.least(upto, F.lit(chars)))
-            name = F.trim(F.element_at(F.split(F.trim(context), r"[.!?]", -1), -1))
-            return slot(day_normalize(h), F.regexp_extract(h, r"(\d{1,2}:\d{2})", 1), None, name)
-        return F.transform(hits, hit)
+        def window(i):
+            # pieces and hits before hit i, from as few of them as can fill the window
+            back = F.greatest(i - chars, F.lit(0))
+            parts = F.transform(F.slice(pieces, back + 1, i - back + 1), lambda p, k: F.concat(
+                F.when(k > 0, F.get(hits, back + k - 1)).otherwise(F.lit("")), F.right(p, F.lit(chars))))
+            return F.array_join(parts, "")
+        return F.transform(hits, lambda h, i: hit(h, window(i)))
 
     return let(H.found(text, rx), lambda hits: let(F.split(col(text), rx, -1), lambda pieces: scan(hits, pieces)))
 
@@ -445,7 +461,8 @@ def cascade(strategies: list[Column]) -> Column:
 def category_prices(html) -> Column:
     """Amounts of each text block under the first category whose keyword it holds; a
     later hit overwrites; ``abo`` only while there is no monthly or card price."""
-    blocks = F.transform(H.found(html, r"(?is)<(?:div|li|tr|section)\b[^>]*>(?:(?!<(?:div|li|tr|section)\b).)*?</(?:div|li|tr|section)>"), H.cell_text)
+    blocks = F.transform(H.found(html, 
+        r"(?is)<(?:div|li|tr|section)\b[^>]*>[^<]*+(?:<(?!/?(?:div|li|tr|section)\b)[^<]*+)*+</(?:div|li|tr|section)>"), H.cell_text)
 
     def block(t):
         low = F.lower(t)

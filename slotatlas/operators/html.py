@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slotatlas.functions.text import inner_text as cell_text
-from slotatlas.functions.text import unescape
-from slotatlas.functions.timefn import col, day_word_regex
+from slotatlas.functions.text import unescape, without_element, without_tags
+from slotatlas.functions.timefn import col, day_word_regex, let
 
 DAY = rf"(?<!\p{{L}})(?:{day_word_regex(3)})s?(?!\p{{L}})"
 CLOCK = r"\d{1,2}[:.]\d{2}"
@@ -23,12 +23,18 @@ def found(c, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
 
+def closed(c, closer: str) -> Column:
+    """The text up to the last closing tag (lower case, found in any case): behind it no element ends."""
+    letters = "".join(sorted({x for x in closer if x.isalpha()}))
+    return let(col(c), lambda t: F.left(t, F.length(t) - F.length(F.substring_index(F.translate(t, letters.upper(), letters), closer, -1))))
+
+
 def tables(html) -> Column:
-    return found(html, r"(?is)<table\b[^>]*>.*?</table>")
+    return found(closed(html, "</table>"), r"(?is)<table\b[^>]*>.*?</table>")
 
 
 def table_rows(html) -> Column:
-    return found(html, r"(?is)<tr\b[^>]*>(.*?)</tr>", 1)
+    return found(closed(html, "</tr>"), r"(?is)<tr\b[^>]*>(.*?)</tr>", 1)
 
 
 def cells(row) -> Column:
@@ -52,15 +58,14 @@ def cut_before(c, pattern: str) -> Column:
 
 def block_lines(html) -> Column:
     """Visible text with one line per element."""
-    text = F.regexp_replace(col(html), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    text = unescape(F.regexp_replace(text, r"<[^>]+>", "\n"))
+    text = unescape(without_tags(without_element(without_element(html, "script"), "style"), "\n"))
     text = F.regexp_replace(text, r"[^\S\n]+", " ")
     return F.trim(F.regexp_replace(text, r"\s*\n\s*", "\n"))
 
 
 def anchors(html) -> Column:
     """(href, text) of every anchor."""
-    hits = found(html, r"(?is)<a\b[^>]*?href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>")
+    hits = found(closed(html, "</a>"), r"(?is)<a\b[^>]*?href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>")
     return F.transform(hits, lambda a: F.struct(
         F.trim(unescape(F.regexp_extract(a, r"(?is)href\s*=\s*[\"']([^\"']*)", 1))).alias("href"),
         F.lower(cell_text(a)).alias("text")))

@@ -58,12 +58,15 @@ def context(lines: Column, i: Column, around: int = 2) -> Column:
     return F.array_join(F.slice(lines, first + 1, i + around - first + 1), " ")
 
 
-def neighbor_fallback(lines: Column, i: Column, own: Column, usable: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """Name: own text, else the previous line, else the next one. Second: the next line, unless it is the name."""
+def neighbor_fallback(lines: Column, i: Column, own: Column, usable: Callable[[Column], Column],
+                      second_longest: int | None = None) -> tuple[Column, Column]:
+    """Name: own text, else the previous line, else the next one. Second: the next line (shorter than
+    ``second_longest``, if given), unless it is the name."""
     before = F.when(i > 0, F.get(lines, i - 1))
     after = F.get(lines, i + 1)
     name = F.coalesce(own, F.when(usable(before), before), F.when(usable(after), after))
-    second = F.when(usable(after) & (F.length(after) < 60) & (after != name), after)
+    short = F.length(after) < second_longest if second_longest else F.lit(True)
+    second = F.when(usable(after) & short & (after != name), after)
     return name, second
 
 

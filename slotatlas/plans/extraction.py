@@ -18,8 +18,10 @@ NO_TEACHER = "page_id, pos, day, time_start, time_end, class_name"
 
 
 def table_pages(spark, sf):
+    # one name in three is written with a numeric character reference
     return slot_pages(spark, sf, lambda s, k: [
-        "<tr><td>", s["word"], "</td><td>", s["start"], " - ", s["end"], "</td><td><b>", s["name"], "</b></td><td>", s["teacher"], "</td></tr>"],
+        "<tr><td>", s["word"], "</td><td>", s["start"], " - ", s["end"], "</td><td><b>",
+        F.replace(s["name"], F.lit("Flow"), F.lit("&#70;low")) if k == 1 else s["name"], "</b></td><td>", s["teacher"], "</td></tr>"],
         "<html><table><tr><th>Menu</th></tr><tr><td>Montag</td><td>01:00</td><td>No schedule</td></tr></table>"
         "<table class='x'><tr><th>Tag</th><th>Zeit</th><th>Kurs</th></tr>", "</table></html>")
 
@@ -43,8 +45,11 @@ def ex_day_header_table(spark, sf):
 
 
 def heading_pages(spark, sf):
+    # a plain heading, one with the day in a tag and a long text, one with a tag behind the day
+    heads = [("<h3>", "</h3>"), ("<h3><span class='d'><b>", "</b></span>, 12.03., in unserem schoenen Studio an der langen Bahnhofstrasse 12</h3>"),
+             ("<dt>", " <small>grosser Saal im zweiten Stock, bitte klingeln</small> hinten</dt>")]
     return slot_pages(spark, sf, lambda s, k: [
-        "<h3>", s["word"], "</h3><p>", s["start"], " - ", s["end"], " Uhr ", s["name"], " mit ", s["teacher"], "</p><p>Notiz ohne Zeit</p>"],
+        heads[k][0], s["word"], heads[k][1], "<p>", s["start"], " - ", s["end"], " Uhr ", s["name"], " mit ", s["teacher"], "</p><p>Notiz ohne Zeit</p>"],
         "<body>", "<h2>Kontakt</h2><p>08:00 - 18:00 Office</p></body>")
 
 
@@ -69,7 +74,7 @@ def ex_block(spark, sf):
 
 def line_pages(spark, sf):
     return slot_pages(spark, sf, lambda s, k: (
-        [s["word"], ", 3.4.\n", s["start"], " – ", s["end"], "\n", s["name"], "\nBuchen\n"] if k == 0 else
+        [s["word"], ", 3.4., im grossen Saal hinten links neben der Treppe\n", s["start"], " – ", s["end"], "\n", s["name"], "\nBuchen\n"] if k == 0 else
         [s["word"], "\n", s["name"], " ", s["start"], " - ", s["end"], " ", s["teacher"], "\nDetails\n"]), "Stundenplan\n09:00 - 10:00 Kein Tag\n", "Impressum", out="text")
 
 
@@ -80,7 +85,8 @@ def ex_lines(spark, sf):
 
 def day_block_pages(spark, sf):
     return slot_pages(spark, sf, lambda s, k: [
-        "<section><span class='d'>", s["word"], "</span><div>", s["start"], " - ", s["end"], " ", s["name"], "</div><div>no time</div></section>"])
+        "<section><span class='d'>", "Unser Programm im grossen Saal an der langen Bahnhofstrasse, " if k else "", s["word"],
+        " und was sonst noch alles an diesem Tag zu sehen ist</span><div>" if k else "</span><div>", s["start"], " - ", s["end"], " ", s["name"], "</div><div>no time</div></section>"])
 
 
 @query("ex_day_blocks", slots_sql(NO_TEACHER))

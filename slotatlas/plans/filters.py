@@ -139,11 +139,12 @@ def flt_robots_gate(spark, sf):
 
 @query("flt_targets", with_base(
     "SELECT id, status, part FROM places WHERE status IN ('dynamic', 'no_data', 'error') AND trim(schedule_url) <> '' AND part <> 'NATION_3' "
-    "ORDER BY CASE status WHEN 'dynamic' THEN 0 WHEN 'no_data' THEN 1 ELSE 2 END, part, name, id LIMIT 50"))
-def flt_targets(spark, sf, most: int = 50):
+    "ORDER BY CASE status WHEN 'dynamic' THEN 0 WHEN 'no_data' THEN 1 ELSE 2 END, part, name, id"))
+def flt_targets(spark, sf, most: int | None = None):
     from slotatlas.operators.ranking import status_rank
     p = places_base(spark, sf).filter("status IN ('dynamic', 'no_data', 'error') AND trim(schedule_url) <> '' AND part <> 'NATION_3'")
-    return p.orderBy(status_rank("status", ["dynamic", "no_data", "error"]), "part", "name", "id").limit(most).select("id", "status", "part")
+    p = p.orderBy(status_rank("status", ["dynamic", "no_data", "error"]), "part", "name", "id")
+    return (p.limit(most) if most else p).select("id", "status", "part")
 
 
 VALID_SQL = ("(day IN ('Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday') AND regexp_matches(time_start, '^[0-9]{1,2}:[0-9]{2}') "

@@ -32,13 +32,19 @@ def _slot_columns(k: int) -> dict[str, Column]:
     }
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt by their key before they are blown up into pages, so that every core renders and parses. The
+    number is given, as adaptive execution would fold small partitions back into one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def slot_pages(spark, sf, template, head="", foot="", out="html") -> DataFrame:
     """Orders with a page rendered from ``template(slot columns, k) -> list of parts``."""
     parts = [F.lit(head)]
     for k in range(N):
         parts += [p if isinstance(p, Column) else F.lit(p) for p in template(_slot_columns(k), k)]
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    return orders.select(
+    return dealt(orders, "o_orderkey").select(
         F.col("o_orderkey").alias("page_id"), F.concat(*parts, F.lit(foot)).alias(out))
 
 
@@ -77,7 +83,7 @@ def price_pages(spark, sf) -> DataFrame:
                     F.lit("</p><p>10er Karte "), ten, F.lit(".-</p><p>" + FILLER), F.lit("</p><p>Monatsabo Fr. "), month,
                     F.lit("</p><p>" + FILLER + "</p><p>"), trial, F.lit("</p></body></html>"))
     parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    return parts.select("p_partkey", F.lit("https://x.example.ch/preise").alias("url"), html.alias("html"))
+    return dealt(parts, "p_partkey").select("p_partkey", F.lit("https://x.example.ch/preise").alias("url"), html.alias("html"))
 
 
 PRICE_SQL = ("SELECT p_partkey, CAST(20 + p_size % 30 AS DOUBLE) + 0.5e0 AS single, floor(p_retailprice / 4) AS card_10, "

@@ -40,7 +40,7 @@ def wn_context(spark, sf):
 
 
 @query("wn_neighbor_fallback", f"""
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(name) AS name_md5, md5(CASE WHEN length(nxt) > 2 AND length(nxt) < 100 AND length(nxt) < 60 AND nxt <> name THEN nxt END) AS second_md5
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(name) AS name_md5, md5(CASE WHEN length(nxt) > 2 AND length(nxt) < 100 AND nxt <> name THEN nxt END) AS second_md5
 FROM (SELECT *, coalesce(own, CASE WHEN length(prv) > 2 AND length(prv) < 100 THEN prv END, CASE WHEN length(nxt) > 2 AND length(nxt) < 100 THEN nxt END) AS name
   FROM (SELECT doc_id, pos, line, CASE WHEN length(line) >= 15 THEN line END AS own,
           lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prv, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM ({LINES_SQL})))

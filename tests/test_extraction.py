@@ -1,9 +1,14 @@
 """Negative rows and page shapes the round trips do not have."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from slotatlas.functions import price
+from slotatlas.functions.text import rendered_text, unescape
 from slotatlas.operators import extract as X
-from slotatlas.operators.html import block_lines
+from slotatlas.operators import sequences
+from slotatlas.operators.html import anchors, block_lines, tables
 
 
 def run(spark, html, slots):
@@ -122,3 +127,52 @@ def test_links_without_dot_segments(spark):
     df = spark.createDataFrame([("https://a.ch/x/y/z", h) for h in ("../k", "./k", "../../../k?q=../s", "k", "../")], "b string, h string")
     assert [r[0] for r in df.select(url_join("b", "h")).collect()] == [
         "https://a.ch/x/k", "https://a.ch/x/y/k", "https://a.ch/k?q=../s", "https://a.ch/x/y/k", "https://a.ch/x/"]
+
+
+def test_no_length_limits_around_a_day(spark):
+    long = "in unserem schoenen Studio an der Bahnhofstrasse 12 " * 3
+    slot = [("Monday", "09:00", "10:00", "Yin", "")]
+    assert run(spark, f"<h3>Montag {long}</h3><p>09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
+    assert run(spark, f"<h3>Montag <em>{long}</em> x</h3><p>09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
+    assert run(spark, "<h3>Montag 9:00 - 10:00</h3><p>11:00 - 12:00 Yin</p>", X.heading_slots("html")) == []
+    words = long.replace("12", "")
+    assert run(spark, f"<b>{words}Montag {words}</b><div>09:00 - 10:00 Yin</div>", X.day_block_slots("html")) == slot
+    assert run(spark, f"{words}Montag {words}\n09:00 - 10:00 Yin", X.line_slots("html")) == slot
+    assert run(spark, f"{words}Montag {words}\n09:00 - 10:00 Yin", X.line_slots("html", around_day=14)) == []
+
+
+def test_second_values_have_no_limit_by_default(spark):
+    df = spark.createDataFrame([("x", f"name\n{'y' * 70}")], "k string, t string")
+
+    def second(limit):
+        def columns(lines, i):
+            return [sequences.neighbor_fallback(lines, i, F.get(lines, i), lambda c: F.length(c) > 2, limit)[1].alias("s")]
+        return [r["s"] for r in sequences.line_rows(df, "t", lambda x: x == "name", columns, ["k"]).collect()]
+    assert second(None) == ["y" * 70] and second(60) == [None]
+
+
+def test_windows_around_keywords(spark):
+    far = "x" * 200
+    cases = {"einzel CHF 30": 30.0, f"CHF 12 {far} einzel {far} CHF 14": None, f"einzel {far} einzel 25 CHF": 25.0, "einzel einzel CHF 40 einzel fr. 35": 35.0,
+             "\x01 einzel \x02 CHF 20": 20.0, "keine": None, "einzel" + " " * 149 + "CHF 77": None, "einzel" + " " * 143 + "CHF 77": 77.0,
+             "CHF 9 " + "ä" * 140 + " einzel": 9.0, "": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", price.near_keyword("t", "einzel").alias("v")).collect()}
+    assert got == cases
+
+
+def test_time_is_linear_in_open_tags_and_hits(spark):
+    texts = ["<script>" * 60_000, "<a href='x'>" * 40_000, "<" * 400_000, "<style>" * 60_000 + "</style>", "<table>" * 60_000, "<noscript>" * 50_000,
+             "<div>" + "a" * 400_000 + "</div>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).cache()
+    df.count()
+    start = time.perf_counter()
+    df.select(F.length(rendered_text("t")), F.size(anchors("t")), X.category_prices("t"), F.size(tables("t"))).write.format("noop").mode("overwrite").save()
+    hits = spark.createDataFrame([("drop-in 25 chf " * 8000,)], "t string")
+    assert hits.select(price.near_keyword("t", "drop-in")).first()[0] == 25.0
+    assert time.perf_counter() - start < 60
+
+
+def test_character_references_of_the_whole_table(spark):
+    df = spark.createDataFrame([("a&comma;b&lpar;c&rpar;&nbsp;&NotEqualTilde;&#x41;&#66;&unknown;&amp;lt;",)], "t string")
+    assert df.select(unescape("t")).first()[0] == "a,b(c) ≂̸AB&unknown;&lt;"
