@@ -158,7 +158,9 @@ def heading_slots(html, single_ok: bool = True, max_blocks: int | None = None) -
     def piece(p):
         day = day_normalize(F.regexp_extract(p, rf"(?is)^<[^>]*>{inner}([^<]*)", 1))
         # what the heading holds ends at its own closing tag; without one, at the first closing tags
-        head = rf"(?is)^<([a-z0-9]+)[^>]*>(?:.*?</\1\s*>|{inner}{inline}(?:</[^>]*>)++)"
+        # if it stands inside a larger heading, that one's text goes too
+        outer = r"(?:(?:[^<]++|</(?!h[1-6]|dt|th)[^>]*+>)*+</(?:h[1-6]|dt|th)\s*>)?+"
+        head = rf"(?is)^<([a-z0-9]+)[^>]*>(?:.*?</\1\s*>|{inner}{inline}(?:</[^>]*>)++){outer}"
         body = F.regexp_replace(F.regexp_replace(p, head, ""), r"(?is)<h[1-6]\b.*$", "")
         blocks = H.leaves(body, "p|li|div|span|dd|td")
         blocks = F.slice(blocks, 1, max_blocks) if max_blocks else blocks

@@ -134,6 +134,8 @@ def test_no_length_limits_around_a_day(spark):
     slot = [("Monday", "09:00", "10:00", "Yin", "")]
     assert run(spark, f"<h3>Montag {long}</h3><p>09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
     assert run(spark, f"<h3>Montag <em>{long}</em> x</h3><p>09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
+    assert run(spark, f"<h3><b>Montag</b>, 12.03. {long}</h3><p>09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
+    assert run(spark, "<p><b>Montag</b> 09:00 - 10:00 Yin</p>", X.heading_slots("html")) == slot
     assert run(spark, "<h3>Montag 9:00 - 10:00</h3><p>11:00 - 12:00 Yin</p>", X.heading_slots("html")) == []
     words = long.replace("12", "")
     assert run(spark, f"<b>{words}Montag {words}</b><div>09:00 - 10:00 Yin</div>", X.day_block_slots("html")) == slot
