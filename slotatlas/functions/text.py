@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +16,14 @@ REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def _named() -> Column:
-    """Names of the standard's table that end in a semicolon; nbsp is a blank here. One literal, looked up as a map."""
+    """Names of the standard's table that end in a semicolon; nbsp is a blank here.
+
+    One literal, looked up as a map from its front: names that pages use come first, then the older short table.
+    """
     names = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
-    spelled = "\x01".join(f"{name}\x02{text}" for name, text in sorted(names.items()))
+    usual = ["amp", "nbsp", "quot", "lt", "gt", "apos"]
+    order = dict.fromkeys([*usual, *sorted(name2codepoint), *sorted(names)])
+    spelled = "\x01".join(f"{name}\x02{names[name]}" for name in order)
     return F.str_to_map(F.lit(spelled), F.lit("\x01"), F.lit("\x02"))
 
 
