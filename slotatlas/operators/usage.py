@@ -22,13 +22,16 @@ def weighted_scores(df: DataFrame, rules: list[tuple[Column, int]], allow: Colum
     return df.withColumn("score", value).withColumn("flagged", F.col("score") >= flag_at)
 
 
+def good_submission() -> Column:
+    """Empty honeypot, at least 3 s after load, a message that is not blank and not too long."""
+    return ((F.coalesce("honeypot", F.lit("")) == "") & (F.col("dwell") >= R.GATE_MIN_SECONDS)
+            & (F.trim("message") != "") & (F.length("message") <= R.GATE_MAX_MESSAGE)
+            & (F.coalesce(F.length("name"), F.lit(0)) <= R.GATE_MAX_NAME))
+
+
 def submission_gate(df: DataFrame, session: list[str], order: list[Column]) -> DataFrame:
-    """Accepted submissions: empty honeypot, at least 3 s after load, a message that is
-    not blank and not too long, and only the first such one per session."""
-    ok = ((F.coalesce("honeypot", F.lit("")) == "") & (F.col("dwell") >= R.GATE_MIN_SECONDS)
-          & (F.trim("message") != "") & (F.length("message") <= R.GATE_MAX_MESSAGE)
-          & (F.coalesce(F.length("name"), F.lit(0)) <= R.GATE_MAX_NAME))
-    return keep_by(df.filter(ok), session, order)
+    """Accepted submissions: only the first good one per session."""
+    return keep_by(df.filter(good_submission()), session, order)
 
 
 def event_counts(df: DataFrame, category: Column, action: Column) -> DataFrame:

@@ -1,19 +1,18 @@
 """Run-to-run state as Structured Streaming jobs.
 
-State lives in versioned tables below the job's folder on shared storage: a
-batch that is run again after a failure reads the same previous version and
-overwrites its own, so the result does not change.
+A job only ever appends: each batch writes plain Parquet folders named by its batch id, below the job's folder on shared
+storage. A batch that is run again after a failure overwrites its own folders with the same rows. What holds now is a
+query over the log: the newest row of a key by time and tie, combined within tasks before the shuffle. `compacted` logs
+become the `seed` of a job that starts anew, so a long log can be cut while the job is stopped.
 """
 
 from __future__ import annotations
 
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotatlas.functions.price import change_severity, pct_change, signed_pct
-from slotatlas.operators import segmented
+from slotatlas.operators import segmented, usage
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -23,44 +22,34 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, schema, files_
     return reader.parquet(folder)
 
 
-# --- versioned bucket tables --------------------------------------------------------
-#
-# Rows live in bucket=<hash of the key>/version=<n>. A batch reads and rewrites
-# only the buckets its keys fall into, so its cost follows the batch, not the
-# table. Version 0 is the seed; batch n writes version n + 1 and reads what was
-# there before it, which makes a repeated batch write the same rows again.
+# --- logs by batch --------------------------------------------------------------------
 
-def bucket_of(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def append(df: DataFrame, path: str, name: str, batch_id: int) -> None:
+    """Rows of one batch; a repeated batch overwrites its own."""
+    df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
 
-def write_version(df: DataFrame, path: str, keys: list[str], version: int, buckets: int) -> None:
-    df.withColumns({"bucket": bucket_of(keys, buckets), "version": F.lit(version)}).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+def begin(spark: SparkSession, path: str, name: str, schema, seed: DataFrame | None = None) -> None:
+    """Batch -1 of a log: the seed, or no rows, so that the log can be read before the first batch."""
+    rows = spark.createDataFrame([], schema) if seed is None else seed
+    rows.write.mode("ignore").parquet(f"{path}/{name}/batch=-1")
 
 
-def current_table(spark: SparkSession, path: str, before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-    """Rows of the newest version of every bucket (older than ``before``, among ``touched``)."""
-    df = spark.read.option("basePath", path).parquet(path)
-    if before is not None:
-        df = df.filter(F.col("version") < before)
-    if touched is not None:
-        df = df.join(F.broadcast(touched), "bucket", "left_semi")  # at most one row per bucket
-    newest = df.groupBy("bucket").agg(F.max("version").alias("version"))
-    return df.join(F.broadcast(newest), ["bucket", "version"]).drop("bucket", "version")
+def log(spark: SparkSession, path: str, name: str, before: int | None = None) -> DataFrame:
+    """Rows of a log with their ``batch`` (older than ``before``; other folders are not read)."""
+    df = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    return df if before is None else df.filter(F.col("batch") < before)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:  # nothing written yet
-        return False
+def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Last row of each key."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s")).select(*keys, "_s.*")
 
 
 # --- value changes ----------------------------------------------------------------
 
-def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts: str, tie: str, value: str,
+def batch_changes(batch: DataFrame, state: DataFrame, keys: list[str], ts: str, tie: str, value: str,
                   chunk_unit: str = "hour") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(changes, new state, late rows) of one batch.
 
@@ -69,15 +58,11 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
     that holds most of the batch is still spread over many tasks.
     """
     cols = [*keys, ts, tie, value]
-    rows = batch.select(*cols)
-    if state is None:
-        late, fresh = rows.limit(0), rows.withColumn("_new", F.lit(True))
-    else:
-        marked = segmented.join_groups(rows, state.select(*keys, F.struct(ts, tie).alias("_last")), keys, "left")
-        is_late = F.coalesce(F.struct(ts, tie) <= F.col("_last"), F.lit(False))
-        late = marked.filter(is_late).select(*cols)
-        fresh = marked.filter(~is_late).select(*cols).withColumn("_new", F.lit(True)) \
-            .unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
+    marked = segmented.join_groups(batch.select(*cols), state.select(*keys, F.struct(ts, tie).alias("_last")), keys, "left")
+    is_late = F.coalesce(F.struct(ts, tie) <= F.col("_last"), F.lit(False))
+    late = marked.filter(is_late).select(*cols)
+    fresh = marked.filter(~is_late).select(*cols).withColumn("_new", F.lit(True)) \
+        .unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
     fresh = fresh.withColumn("_chunk", F.date_trunc(chunk_unit, ts))
     with_old = segmented.lag(fresh, keys, [ts, tie], "_chunk", {value: "old_value"})
     pct = pct_change("old_value", value)
@@ -89,26 +74,38 @@ def batch_changes(batch: DataFrame, state: DataFrame | None, keys: list[str], ts
     return changes, new_state, late
 
 
+def value_change_step(batch: DataFrame, batch_id: int, path: str, keys: list[str], ts: str, tie: str, value: str) -> None:
+    """Changes, late rows and the last rows of the keys of one batch."""
+    seen = batch.select(F.struct(*keys).alias("_key")).distinct()
+    known = log(batch.sparkSession, path, "state", batch_id).withColumn("_key", F.struct(*keys)).join(seen, "_key", "left_semi")
+    state = newest(known.select(*keys, ts, tie, value), keys, [ts, tie])
+    changes, new_state, late = batch_changes(batch, state, keys, ts, tie, value)
+    append(changes, path, "changes", batch_id)
+    append(late, path, "late", batch_id)
+    append(new_state, path, "state", batch_id)
+
+
 def value_change_stream(stream: DataFrame, path: str, keys: list[str], ts: str, tie: str, value: str,
-                        buckets: int = 64, **trigger):
+                        seed: DataFrame | None = None, **trigger):
     """Remember the last value per key and write a change row for every new one."""
+    begin(stream.sparkSession, path, "state", stream.select(*keys, ts, tie, value).schema, seed)
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch.persist()
-        state = None
-        if _exists(spark, f"{path}/state"):
-            touched = batch.select(bucket_of(keys, buckets).alias("bucket")).distinct()
-            state = current_table(spark, f"{path}/state", batch_id + 1, touched)
-        changes, new_state, late = batch_changes(batch, state, keys, ts, tie, value)
-        changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
-        write_version(new_state, f"{path}/state", keys, batch_id + 1, buckets)
-        batch.unpersist()
+        try:
+            value_change_step(batch, batch_id, path, keys, ts, tie, value)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint") \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def compacted(spark: SparkSession, path: str, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """The last row of each key of a stopped job: the seed of the next one."""
+    return newest(log(spark, path, "state").drop("batch"), keys, [ts, tie])
+
+
 # --- crawl upserts ------------------------------------------------------------------
 
 def upsert_batch(old: DataFrame, batch: DataFrame, owner: str, row_key: str, today: str) -> DataFrame:
@@ -125,19 +122,76 @@ def upsert_batch(old: DataFrame, batch: DataFrame, owner: str, row_key: str, tod
     return kept.unionByName(batch.filter(F.col(row_key).isNotNull()).select(*old.columns))
 
 
-def upsert_stream(stream: DataFrame, path: str, owner: str, row_key: str, today: str, buckets: int = 64, **trigger):
-    """Apply crawl batches to the bucketed table; only touched buckets are rewritten."""
+def upsert_step(batch: DataFrame, batch_id: int, path: str, owner: str, row_key: str, today: str) -> None:
+    """The rows a batch found, and one row for each owner that was tried. Nothing is read."""
+    append(batch.filter(F.col(row_key).isNotNull()), path, "rows", batch_id)
+    tried = batch.groupBy(owner).agg(F.max(F.col(row_key).isNotNull()).alias("found"))
+    append(tried.withColumn("day", F.lit(today)), path, "tries", batch_id)
+
+
+def upsert_stream(stream: DataFrame, path: str, owner: str, row_key: str, today: str, seed: DataFrame, **trigger):
+    """Log crawl batches upon the rows of ``seed``; ``upserted`` is the table they make."""
+    spark = stream.sparkSession
+    begin(spark, path, "rows", seed.schema, seed)
+    begin(spark, path, "tries", None, seed.select(owner).distinct().withColumns({"found": F.lit(True), "day": F.lit("")}))
+
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        touched = batch.select(bucket_of([owner], buckets).alias("bucket")).distinct()
-        old = current_table(batch.sparkSession, f"{path}/table", batch_id + 1, touched)
-        write_version(upsert_batch(old, batch, owner, row_key, today), f"{path}/table", [owner], batch_id + 1, buckets)
-        batch.unpersist()
+        try:
+            upsert_step(batch, batch_id, path, owner, row_key, today)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint") \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def upserted(spark: SparkSession, path: str, owner: str, before: int | None = None) -> DataFrame:
+    """The table after all batches (before ``before``): the rows of the last batch that found an owner, unverified and
+    with the day of the last try if that came later and was in vain."""
+    rows = log(spark, path, "rows", before)
+    state = log(spark, path, "tries", before).groupBy(owner).agg(
+        F.max(F.when(F.col("found"), F.col("batch"))).alias("_from"), F.max("batch").alias("_last"),
+        F.max_by("day", "batch").alias("_day"))
+    vain = F.col("_last") > F.col("_from")
+    current = rows.join(state, owner).filter(F.col("batch") == F.col("_from"))
+    return current.withColumns({"verified": F.when(vain, F.lit(False)).otherwise(F.col("verified")),
+                                "last_checked": F.when(vain, F.col("_day")).otherwise(F.col("last_checked"))}) \
+        .drop("batch", "_from", "_last", "_day")
+
+
+# --- submissions --------------------------------------------------------------------------
+
+def gate_stream(stream: DataFrame, path: str, session: list[str], ts: str, within: str = "1 day", **trigger):
+    """Accept the first good submission of each session, over batches, and forget a session after ``within``.
+
+    Takes the columns of ``usage.good_submission``. Rows older than the watermark are dropped; ``late_rows`` counts them.
+    """
+    good = stream.filter(usage.good_submission()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within)
+    return good.dropDuplicatesWithinWatermark(session).writeStream.format("parquet").option("path", f"{path}/accepted") \
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def late_rows(query) -> int:
+    """Rows a query dropped because they came after the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+# --- running counts -------------------------------------------------------------------------
+
+def count_stream(stream: DataFrame, path: str, key: Column, **trigger):
+    """Counts so far: after each batch the keys it changed are logged with their new count."""
+    counts = stream.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    begin(stream.sparkSession, path, "counts", counts.schema)
+    return counts.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: append(batch, path, "counts", batch_id)) \
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def counts_so_far(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The count of each key after the batches (before ``before``). Counts only grow, so the largest is the newest."""
+    return log(spark, path, "counts", before).groupBy("key").agg(F.max("n").alias("n"))
+
+
 # --- run summary ----------------------------------------------------------------------
 
 def summary(stream: DataFrame, ts: str, part: str, success: Column, rows: Column, width: str = "1 day", late: str = "1 day") -> DataFrame:
