@@ -49,40 +49,43 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 # --- value changes ----------------------------------------------------------------
 
-def batch_changes(batch: DataFrame, state: DataFrame, keys: list[str], ts: str, tie: str, value: str,
-                  chunk_unit: str = "hour") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(changes, new state, late rows) of one batch.
+def marked_late(batch: DataFrame, state: DataFrame, keys: list[str], ts: str, tie: str, value: str) -> DataFrame:
+    """Rows of a batch with ``_late``: not after the state of their key, by time and then tie."""
+    rows = segmented.join_groups(batch.select(*keys, ts, tie, value), state.select(*keys, F.struct(ts, tie).alias("_last")), keys, "left")
+    return rows.withColumn("_late", F.coalesce(F.struct(ts, tie) <= F.col("_last"), F.lit(False))).drop("_last")
 
-    Rows not after the state of their key, by time and then tie, are late: dropped and counted.
-    The rest and the state row of the key run through a chunked lag, so a key
+
+def batch_changes(marked: DataFrame, state: DataFrame, keys: list[str], ts: str, tie: str, value: str,
+                  chunk_unit: str = "hour") -> DataFrame:
+    """Change rows of one batch; its late rows take no part.
+
+    The rows and the state row of the key run through a chunked lag, so a key
     that holds most of the batch is still spread over many tasks.
     """
-    cols = [*keys, ts, tie, value]
-    marked = segmented.join_groups(batch.select(*cols), state.select(*keys, F.struct(ts, tie).alias("_last")), keys, "left")
-    is_late = F.coalesce(F.struct(ts, tie) <= F.col("_last"), F.lit(False))
-    late = marked.filter(is_late).select(*cols)
-    fresh = marked.filter(~is_late).select(*cols).withColumn("_new", F.lit(True)) \
-        .unionByName(state.select(*cols).withColumn("_new", F.lit(False)))
+    fresh = marked.filter(~F.col("_late")).drop("_late").withColumn("_new", F.lit(True)) \
+        .unionByName(state.withColumn("_new", F.lit(False)))
     fresh = fresh.withColumn("_chunk", F.date_trunc(chunk_unit, ts))
     with_old = segmented.lag(fresh, keys, [ts, tie], "_chunk", {value: "old_value"})
     pct = pct_change("old_value", value)
-    changes = with_old.filter("_new").filter(F.col("old_value").isNotNull() & (F.col("old_value") != F.col(value))).select(
+    return with_old.filter("_new").filter(F.col("old_value").isNotNull() & (F.col("old_value") != F.col(value))).select(
         *keys, ts, tie, "old_value", F.col(value).alias("new_value"), pct.alias("pct"),
         signed_pct("old_value", value).alias("signed_pct"), change_severity(pct).alias("severity"))
-    newest = F.max_by(F.struct(ts, tie, value), F.struct(ts, tie)).alias("_s")
-    new_state = fresh.groupBy(*keys).agg(newest).select(*keys, "_s.*")
-    return changes, new_state, late
 
 
 def value_change_step(batch: DataFrame, batch_id: int, path: str, keys: list[str], ts: str, tie: str, value: str) -> None:
-    """Changes, late rows and the last rows of the keys of one batch."""
+    """Changes, late rows and the last rows of the keys of one batch. A late last row does no harm: the log keeps the newer one."""
+    cols = [*keys, ts, tie, value]
     seen = batch.select(F.struct(*keys).alias("_key")).distinct()
     known = log(batch.sparkSession, path, "state", batch_id).withColumn("_key", F.struct(*keys)).join(seen, "_key", "left_semi")
-    state = newest(known.select(*keys, ts, tie, value), keys, [ts, tie])
-    changes, new_state, late = batch_changes(batch, state, keys, ts, tie, value)
-    append(changes, path, "changes", batch_id)
-    append(late, path, "late", batch_id)
-    append(new_state, path, "state", batch_id)
+    state = newest(known.select(*cols), keys, [ts, tie]).persist()  # one row for each key of the batch
+    marked = marked_late(batch, state, keys, ts, tie, value).persist()
+    try:
+        append(batch_changes(marked, state, keys, ts, tie, value), path, "changes", batch_id)
+        append(marked.filter("_late").select(*cols), path, "late", batch_id)
+        append(newest(batch.select(*cols), keys, [ts, tie]), path, "state", batch_id)
+    finally:
+        marked.unpersist()
+        state.unpersist()
 
 
 def value_change_stream(stream: DataFrame, path: str, keys: list[str], ts: str, tie: str, value: str,
