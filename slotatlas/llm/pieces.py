@@ -35,7 +35,7 @@ BPE_MODEL = 2
 #: Bytes of words a worker remembers before it starts anew. Has no influence on results.
 REMEMBERED_BYTES = 160 << 20
 #: About what a remembered word costs besides its letters and ids.
-WORD_BYTES = 400
+WORD_BYTES = 260
 #: Words up to so many letters are merged side by side, longer ones one by one.
 SIDE_BY_SIDE = 48
 #: Symbols take 21 bits: those of the model, then one for each other code point, then the filler.
@@ -201,7 +201,7 @@ class Model:
         self._borders()
         self.written = [self._written(i) for i in range(len(pieces))]
         self.decimal = [str(i) for i in range(len(pieces))]
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
         self.memo_bytes = 0
 
     def _merges(self, scores: list[float]) -> None:
@@ -213,6 +213,7 @@ class Model:
         self.symbols, self.n_symbols = symbols, len(symbols)
         self.id_of = np.array([whole.get(name, -1) for name in symbols], np.int64)
         self.width_of = np.array([len(name.encode()) for name in symbols], np.int64)
+        self.pair_of = np.stack([np.maximum(self.id_of, 0), self.width_of], 1).astype("<u4")
         self.plain = np.array([name in whole and self.kinds[whole[name]] != UNUSED for name in symbols] + [False], bool)
         self.symbol_of = np.arange(0x110000, dtype=np.int32) + self.n_symbols
         for c in letters:
@@ -349,7 +350,7 @@ class Model:
         return letters
 
     def learn(self, words: list[str]) -> None:
-        """Remember packed ids and packed widths of new words."""
+        """Remember packed pairs of id and width (bytes of normalised text) of new words."""
         slow = [(w, self.merge_long(w)) for w in words if len(w) > SIDE_BY_SIDE]
         memo = self.memo
         for several, flat, count in self.merge_many([w for w in words if len(w) <= SIDE_BY_SIDE]):
@@ -357,15 +358,13 @@ class Model:
             plain = self.plain[np.minimum(flat, self.n_symbols)]
             odd = np.unique(np.repeat(np.arange(len(count)), count)[~plain]).tolist()
             slow += [(several[k], flat[stops[k] - count[k]:stops[k]].tolist()) for k in odd]
-            known = np.minimum(flat, self.n_symbols - 1)
-            ids, widths = self.id_of[known].astype("<u4").tobytes(), self.width_of[known].astype("<u4").tobytes()
-            stops = (4 * stops).tolist()
-            memo.update((w, (ids[lo:hi], widths[lo:hi])) for w, lo, hi in zip(several, [0, *stops], stops))
+            pairs = self.pair_of[np.minimum(flat, self.n_symbols - 1)].tobytes()
+            stops = (8 * stops).tolist()
+            memo.update((w, pairs[lo:hi]) for w, lo, hi in zip(several, [0, *stops], stops))
             self.memo_bytes += WORD_BYTES * len(several) + 8 * len(flat)
         for word, symbols in slow:
-            ids, widths = np.array([x for s in symbols for x in self._spelled(s)], np.int64).reshape(-1, 2).T.astype("<u4")
-            memo[word] = ids.tobytes(), widths.tobytes()
-            self.memo_bytes += WORD_BYTES + 4 * len(word) + 8 * len(ids)
+            memo[word] = pairs = np.array([x for s in symbols for x in self._spelled(s)], "<u4").tobytes()
+            self.memo_bytes += WORD_BYTES + 4 * len(word) + len(pairs)
 
     def encode(self, texts: list[str], spans: bool = True) -> list[tuple[bytes, bytes | None]]:
         """For each text: packed ids, and packed (begin, end) source bytes of each."""
@@ -381,25 +380,28 @@ class Model:
             self.memo, self.memo_bytes = {}, 0
         new = set().union(*flat) - self.memo.keys()
         for name in new & self.own.keys():
-            self.memo[name] = struct.pack("<I", self.own[name]), struct.pack("<I", len(name.encode()))
+            self.memo[name] = struct.pack("<II", self.own[name], len(name.encode()))
         self.learn(list(new - self.own.keys()))
         return [self._row(found, source) for found, source in zip(flat, sources)]
 
     def _row(self, found: list[str], source: np.ndarray | None) -> tuple[bytes, bytes | None]:
-        packed, widths = zip(*map(self.memo.__getitem__, found)) if found else ((), ())
-        ids, widths = b"".join(packed), np.frombuffer(b"".join(widths), "<u4")
+        pairs = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4").reshape(-1, 2)
+        flat, widths = pairs[:, 0], pairs[:, 1]
         if not self.fallback:  # a run of unknown letters is one id
-            flat = np.frombuffer(ids, "<u4")
             heads = np.flatnonzero(~((flat == self.unknown) & np.concatenate([[False], flat[:-1] == self.unknown])))
             if len(heads) < len(flat):
-                widths, ids = np.add.reduceat(widths, heads), flat[heads].tobytes()
+                widths, flat = np.add.reduceat(widths, heads), flat[heads]
+        ids = flat.tobytes()
         if source is None:
             return ids, None
-        ends = np.cumsum(widths, dtype=np.int64)
-        begins, ends = source[ends - widths.astype(np.int64)], source[ends]
+        stops = np.zeros(len(widths) + 1, np.int64)
+        np.cumsum(widths, out=stops[1:])
+        places = source[stops].astype("<u4")
+        spans = np.stack([places[:-1], places[1:]], 1)
         if self.fallback:  # a byte before the last of its letter stands for nothing
-            ends = np.where(widths > 0, ends, begins)
-        return ids, np.stack([begins, ends], 1).astype("<u4").tobytes()
+            empty = widths == 0
+            spans[empty, 1] = spans[empty, 0]
+        return ids, spans.tobytes()
 
     def spell(self, ids: bytes) -> str:
         """Packed ids in decimals, joined by blanks."""
