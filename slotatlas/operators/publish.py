@@ -58,7 +58,7 @@ def event_docs(slots: DataFrame, places: DataFrame, part: str = "part", cap: int
 
 def faq_docs(facts: DataFrame, part: str = "part") -> DataFrame:
     """Question-and-answer document per partition from its facts
-    (n_places, n_slots, n_tags, lo, hi, top_tags, top_cities)."""
+    (n_places, n_slots, n_tags, lo, hi, top_tags, top_cities). A fact that is absent leaves a plain sentence."""
     def qa(q, a):
         return F.struct(F.lit("Question").alias("@type"), q.alias("name"),
                         F.struct(F.lit("Answer").alias("@type"), a.alias("text")).alias("acceptedAnswer"))
@@ -68,9 +68,9 @@ def faq_docs(facts: DataFrame, part: str = "part") -> DataFrame:
         qa(F.concat(F.lit("How many places are there in "), name, F.lit("?")),
            F.concat(F.col("n_places").cast("string"), F.lit(" places with "), F.col("n_slots").cast("string"), F.lit(" weekly slots."))),
         qa(F.concat(F.lit("Which kinds are offered in "), name, F.lit("?")),
-           F.concat(F.col("top_tags"), F.lit(" and others, "), F.col("n_tags").cast("string"), F.lit(" in all."))),
+           F.coalesce(F.concat(F.col("top_tags"), F.lit(" and others, "), F.col("n_tags").cast("string"), F.lit(" in all.")), F.lit("No kinds are listed yet."))),
         qa(F.concat(F.lit("What does it cost in "), name, F.lit("?")), F.concat(F.lit("Prices vary."), F.coalesce(span, F.lit("")))),
-        qa(F.concat(F.lit("In which towns of "), name, F.lit("?")), F.concat(F.lit("For example in "), F.col("top_cities"), F.lit("."))),
+        qa(F.concat(F.lit("In which towns of "), name, F.lit("?")), F.coalesce(F.concat(F.lit("For example in "), F.col("top_cities"), F.lit(".")), F.lit("No towns are listed yet."))),
     ).alias("mainEntity")))
     return facts.select(part, doc.alias("doc"))
 

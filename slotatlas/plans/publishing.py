@@ -207,9 +207,9 @@ TOP_SQL = ("(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT trim(x)
 
 @query("snk_jsonld_faq", with_both(
     "SELECT part, concat('{\"@context\":\"https://schema.org\",\"@type\":\"FAQPage\",\"mainEntity\":[{\"@type\":\"Question\",\"name\":\"How many places are there in ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"', n_places, ' places with ', n_slots, ' weekly slots.\"}},"
-    "{\"@type\":\"Question\",\"name\":\"Which kinds are offered in ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"', top_tags, ' and others, ', n_tags, ' in all.\"}},"
-    "{\"@type\":\"Question\",\"name\":\"What does it cost in ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"Prices vary. A single entry costs CHF ', CAST(lo AS BIGINT), ' to CHF ', CAST(hi AS BIGINT), '.\"}},"
-    "{\"@type\":\"Question\",\"name\":\"In which towns of ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"For example in ', top_cities, '.\"}}]}') AS doc FROM ("
+    "{\"@type\":\"Question\",\"name\":\"Which kinds are offered in ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"', CASE WHEN top_tags IS NULL THEN 'No kinds are listed yet.' ELSE concat(top_tags, ' and others, ', n_tags, ' in all.') END, '\"}},"
+    "{\"@type\":\"Question\",\"name\":\"What does it cost in ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"Prices vary.', CASE WHEN lo IS NULL THEN '' ELSE concat(' A single entry costs CHF ', CAST(lo AS BIGINT), ' to CHF ', CAST(hi AS BIGINT), '.') END, '\"}},"
+    "{\"@type\":\"Question\",\"name\":\"In which towns of ', part, '?\",\"acceptedAnswer\":{\"@type\":\"Answer\",\"text\":\"', CASE WHEN top_cities IS NULL THEN 'No towns are listed yet.' ELSE concat('For example in ', top_cities, '.') END, '\"}}]}') AS doc FROM ("
     "SELECT part, count(*) AS n_places, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_slots, min(single) FILTER (single < 100 AND single <> 0) AS lo, max(single) FILTER (single < 100 AND single <> 0) AS hi, "
     "(SELECT count(DISTINCT t) FROM (SELECT unnest(styles) AS t FROM places q WHERE q.part = p.part)) AS n_tags, "
     + TOP_SQL.format(arr="unnest(styles)", n=5) + " AS top_tags, " + TOP_SQL.format(arr="unnest(list_transform(addresses, lambda a: a.city))", n=4) + " AS top_cities "
@@ -222,7 +222,7 @@ def snk_jsonld_faq(spark, sf):
     first = ranking.top_n(values, ["part", "kind"], [F.col("value")], 5).filter("kind = 'tag' OR rank <= 4")
     # At most five values per partition and kind are left.
     texts = first.groupBy("part").pivot("kind", ["tag", "city"]).agg(F.array_join(F.array_sort(F.collect_list("value")), ", "))
-    facts = base.join(span, "part").join(texts.withColumnsRenamed({"tag": "top_tags", "city": "top_cities"}), "part")
+    facts = base.join(span, "part", "left").join(texts.withColumnsRenamed({"tag": "top_tags", "city": "top_cities"}), "part", "left")
     return publish.faq_docs(facts)
 
 

@@ -1,11 +1,12 @@
 """Operators on small tables: skew, ties, idempotence, brute force."""
 
+import json
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from slotatlas.operators import cleaning, facets, joins, quality, ranking, reconcile, segmented, sequences, stats
+from slotatlas.operators import cleaning, facets, joins, publish, quality, ranking, reconcile, segmented, sequences, stats
 
 
 def skewed(spark, n=600):
@@ -168,3 +169,9 @@ def test_equal_positions_are_pairs(spark):
     for target in (1, 2000):
         got = joins.close_pairs(df, "part", "x", "y", "id", eps=0.01, target=target)
         assert set(map(tuple, got.collect())) == {("p", 3, 4, 3, 1), ("p", 3, 5, 1, 1), ("p", 3, 9, 1, 1)}
+
+
+def test_answers_without_prices_tags_or_towns(spark):
+    facts = spark.createDataFrame([("a", 3, 0, 0, None, None, None, None)], "part string, n_places long, n_slots long, n_tags long, lo double, hi double, top_tags string, top_cities string")
+    answers = [q["acceptedAnswer"]["text"] for q in json.loads(publish.faq_docs(facts).first()["doc"])["mainEntity"]]
+    assert answers == ["3 places with 0 weekly slots.", "No kinds are listed yet.", "Prices vary.", "No towns are listed yet."]
