@@ -32,6 +32,8 @@ RUN_RECORDS = 500
 PARTS = 16
 #: Pages have no time of their own: capture n is n seconds after this one.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: Seconds a capture lies from the first one at most, so that every date has a year of four digits. Ids beyond share the last date.
+LAST = 60_000_000_000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,7 +65,7 @@ def record(page_id: Column, url: Column, html: Column, refers_to: Column) -> Col
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.octet_length(html).cast("string"), F.lit(CRLF * 2))
     block = F.concat(http, F.when(refers_to.isNull(), html).otherwise(F.lit("")))
-    when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.coalesce(page_id, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.coalesce(F.greatest(F.least(page_id, F.lit(LAST)), F.lit(-LAST)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     safe = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A")
     link = F.when(refers_to.isNull(), F.lit("")).otherwise(
         F.concat(F.lit("WARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(f">{CRLF}WARC-Profile: {PROFILE}{CRLF}")))

@@ -43,3 +43,10 @@ def test_url_keys_turn_hosts_round():
     assert warc.url_key("HTTP://www.Example.com/A?b") == "com,example,www)/a?b"
     assert warc.url_key("http://x.org:8080") == "org,x:8080)/"
     assert warc.url_key("") == ")/"
+
+
+def test_ids_of_any_size(spark, tmp_path):
+    ids = [-2**63, -10**13, 0, 3 * 10**11, 10**13, 10**13 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(i, "http://a.b/", f"text {i}") for i in ids], "page_id long, url string, html string")
+    rows = warc.archive(df, str(tmp_path / "w")).collect()
+    assert [r.page_id for r in rows] == ids and all(len(r.captured_at) == len(rows[0].captured_at) for r in rows)
