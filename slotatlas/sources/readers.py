@@ -92,8 +92,20 @@ def decode_envelopes(encoded: DataFrame, plain: DataFrame, key: str) -> DataFram
 
 
 def read_changelog(spark: SparkSession, path: str) -> DataFrame:
-    """Change log, JSON lines or arrays; a missing or unreadable log is empty."""
+    """Change log, JSON lines or arrays; a missing log is empty. What is not readable: `changelog_parts`."""
+    return changelog_parts(spark, path)[0]
+
+
+def changelog_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Change rows, and the records that are no changes with their file (``file``, ``record``)."""
     try:
-        return spark.read.schema(schemas.CHANGE).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:  # no such path
-        return spark.createDataFrame([], schemas.CHANGE)
+        raw = spark.read.schema(f"{schemas.CHANGE}, _corrupt_record STRING").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.CHANGE), spark.createDataFrame([], "file string, record string")
+    # Spark parses the columns a query asks for; whether a record is broken must not depend on them, so all are read.
+    whole = F.length(F.to_json(F.struct(*[c for c in raw.columns if c != "_corrupt_record"]))) > 0
+    rows = raw.filter(F.col("_corrupt_record").isNull() & whole).drop("_corrupt_record")
+    broken = raw.filter(F.col("_corrupt_record").isNotNull() & whole)
+    return rows, broken.select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("record"))

@@ -37,11 +37,10 @@ def write_snapshot(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """The given run, or the latest one (partition pruning on its id)."""
+    """The given run, or the latest one: partitions are pruned when the query runs, nothing runs before."""
     df = spark.read.option("basePath", path).parquet(path)
-    if run_id is None:
-        run_id = df.agg(F.max("run_id")).first()[0]  # one value
-    return df.filter(F.col("run_id") == run_id)
+    latest = df.agg(F.max("run_id")).scalar() if run_id is None else F.lit(run_id)
+    return df.filter(F.col("run_id") == latest)
 
 
 def append_changes(df: DataFrame, path: str) -> None:

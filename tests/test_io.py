@@ -61,3 +61,18 @@ def test_snapshot_versions(spark, tmp_path):
         writers.write_snapshot(spark.range(i), path, f"r{i}")
     assert readers and writers.read_snapshot(spark, path).count() == 2
     assert writers.read_snapshot(spark, path, "r1").count() == 1
+    latest = writers.read_snapshot(spark, path)
+    plan = latest._jdf.queryExecution().executedPlan().toString().lower()
+    filters = plan.split("partitionfilters: [")[1].split("]")[0]
+    assert "subquery" in filters and latest.columns == ["id", "run_id"]
+
+
+def test_broken_change_records_are_kept_apart(spark, tmp_path):
+    good = {"timestamp": "t", "studio_id": "a", "canton": "c", "field": "single", "old_value": 1.0, "new_value": 2.0, "source": "s"}
+    (tmp_path / "a.json").write_text(json.dumps(good) + "\n{broken\n" + json.dumps([good, good | {"studio_id": "b"}]) + "\n\n")
+    (tmp_path / "b.json").write_text(json.dumps(good | {"old_value": "many"}) + "\n" + json.dumps(good) + "\n")
+    rows, broken = readers.changelog_parts(spark, str(tmp_path))
+    assert sorted(r["studio_id"] for r in rows.collect()) == ["a", "a", "a", "b"]
+    assert sorted((r["file"].split("/")[-1], "many" in r["record"]) for r in broken.collect()) == [("a.json", False), ("b.json", True)]
+    assert broken.count() == 2 and rows.count() == 4
+    assert readers.changelog_parts(spark, str(tmp_path / "none"))[1].count() == 0
