@@ -122,7 +122,7 @@ def rules() -> list[Rule]:
         add(label, 20, "creative", rf"creative commons {spelled}")
     for label, keyword, pattern in PHRASES:
         add(label, 10, keyword, pattern)
-    add("spdx", 40, "spdx", r"spdx license identifier \S+(?: \d+ \d+)?(?: only| or later)?")
+    add("spdx", 4, "spdx", r"spdx license identifier \S+(?: \d+ \d+)?(?: only| or later)?")
     for phrase, label in BASE.items():
         add(label, 5, max(phrase.split(), key=len), phrase)
     return made

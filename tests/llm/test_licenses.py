@@ -64,3 +64,8 @@ def test_glued_versions_and_years():
                         ("GPL version 3", "gpl-3"), ("CC BYv4.0", "cc-by-4.0"), ("\u00a9 2024", "copyright")):
         assert label in labels(text), text
     assert "gpl-or-later" in labels("GPLv9 or later") and labels("agplvx mplv mpl2 x\u00a92024") == [""]
+
+
+def test_an_identifier_does_not_hide_its_license():
+    found = licenses.surviving(list(licenses.detect(b"spdx license identifier apache 2 0", licenses.rules())))
+    assert {d.label for d in found} == {"spdx", "apache-2.0"}
