@@ -25,11 +25,15 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 VERDICT = ["base_failed", "kept", "rule"]
 
 
+window_hash = F.xxhash64
+
+
 def n_repeat_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more in the text.
 
     Windows are hashed to 64 bits less the bits that a place needs, put before the place, and sorted as plain numbers:
-    equal windows become neighbours. Two different windows of one text would have to share a hash to be miscounted.
+    equal windows become neighbours. Only places whose hash occurs twice go on; their words are compared, so windows that
+    merely share a hash don't count.
     """
     def body(w: Column) -> Column:
         bits = F.ceil(F.log2(F.size(w) + F.lit(1))).cast("int")
@@ -37,17 +41,29 @@ def n_repeat_words(words: Column) -> Column:
 
     def places(w: Column, b: Column) -> Column:
         def numbered(i: Column) -> Column:
-            window = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            window = window_hash(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
             return F.call_function("shiftleft", window, b).bitwiseOR(i.cast("long"))
 
         numbers = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), numbered))
-        return let(numbers, lambda s: repeated(s, b))
+        return let(numbers, lambda s: repeated(w, s, b))
 
-    def repeated(s: Column, b: Column) -> Column:
+    def repeated(w: Column, s: Column, b: Column) -> Column:
         high = lambda x: F.call_function("shiftright", x, b)
         twice = F.filter(s, lambda x, i: (high(x) == high(F.get(s, i + 1))) | (high(x) == high(F.get(s, i - 1))))
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
-        return let(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask))), covered)
+        return let(F.transform(twice, lambda x: x.bitwiseAND(mask)), lambda p: let(spelled(w, p), equal))
+
+    def spelled(w: Column, p: Column) -> Column:
+        def window(x: Column) -> Column:
+            i = x.cast("int")  # words hold no blank
+            return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("window"), x.alias("place"))
+
+        return F.sort_array(F.transform(p, window))
+
+    def equal(v: Column) -> Column:
+        at = lambda i: F.get(v, i)["window"]
+        twice = F.filter(v, lambda x, i: (x["window"] == at(i + 1)) | (x["window"] == at(i - 1)))
+        return let(F.sort_array(F.transform(twice, lambda x: x["place"])), covered)
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1), x + 3) - x))
@@ -56,6 +72,14 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(words, body))
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """A name that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the statistics of a text (all long): words, their characters, symbols, repeated lines, words in repeats.
 
@@ -64,14 +88,15 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in STATISTICS]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = df.select(*kept, words_of(whole).alias("__words"), lines.alias("__lines"))
+    word, line = free_name("words", df), free_name("lines", df)
+    split = df.select(*kept, words_of(whole).alias(word), lines.alias(line))
     return split.select(
         *kept,
-        F.size("__words").cast("long").alias("n_words"),
+        F.size(word).cast("long").alias("n_words"),
         F.char_length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("__words")).alias("n_repeat_words"))
+        (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+        n_repeat_words(F.col(word)).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:

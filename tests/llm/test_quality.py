@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from slotatlas.llm import quality
 from tests.llm import brute
 
@@ -48,3 +50,18 @@ def test_pruning_and_order_of_rules():
     assert [str(r) for r in rules] == ["a > 1", "b > 1"]
     assert [(r.bad, r.good) for r in rules] == [(82, 0), (15, 1)]
     assert quality.learn([], cuts) == []
+
+
+def test_many_distinct_words_have_no_repeat(spark):
+    rows = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(0), F.lit(2_999_999)), lambda i: F.conv(i.cast("string"), 10, 36))).alias("text"), F.lit(0).alias("words"), F.lit(0).alias("__lines"))
+    out = quality.statistics(rows).select("n_words", "n_repeat_words", "words", "__lines").first()
+    assert tuple(out) == (3_000_000, 0, 0, 0)
+
+
+def test_windows_that_share_a_hash_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(quality, "window_hash", lambda *words: F.lit(7).cast("long"))
+    texts = ["a b c d e f g", "a b c x a b c", "a b c a b c a b", "q a a a a r"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.n_repeat_words for r in quality.statistics(df).orderBy("doc_id").collect()]
+    assert got == [brute.statistics(t)[4] for t in texts] == [0, 6, 8, 4]
