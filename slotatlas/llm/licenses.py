@@ -60,12 +60,23 @@ VERSIONED = [
 ]
 #: Between a name and its version, which may be glued to it: "gpl version 3", "gpl v 3", "gpl v3", "gpl 3", "gplv3".
 TO_VERSION = "(?: (?:version |v )?v?|v)"
+#: Families whose identifiers end in "only" or "or later".
+GNU = ("agpl", "gfdl", "gpl", "lgpl")
+#: Identifiers of the license list as words ("GPL-2.0-or-later" reads "gpl 2 0 or later"); a label joins them by dashes.
+IDENTIFIER = (r"(?:(?:agpl|gfdl|lgpl|gpl) \d+(?: \d+)?(?: only| or later)?"
+              r"|(?:afl|apache|apsl|artistic|bsl|cddl|cecill|cpl|ecl|epl|eupl|lppl|mpl|ms pl|ncsa|odbl|ofl|osl|psf|python|zpl) \d+(?: \d+)*"
+              r"|bsd [1-4] clause(?: clear| patent)?|cc by(?: nc)?(?: sa| nd)? \d+ \d+|cc0 1 0|mit 0|mit|isc|zlib|unlicense|wtfpl|0bsd"
+              r"|postgresql|ncsa|ms pl|x11|curl|openssl|blueoak 1 0 0"
+              r"|(?:autoconf|bison|classpath|font|gcc) exception \d+ \d+|llvm exception|linux syscall note)")
+EXPRESSION = re.compile(rf"(?<![^ ])spdx license identifier ({IDENTIFIER}(?: (?:and|or|with) {IDENTIFIER})*)(?![^ ])".encode())
+ONE_IDENTIFIER = re.compile(rf"(?<![^ ]){IDENTIFIER}(?![^ ])".encode())
 PARTS = {"by": "attribution", "nc": "noncommercial", "nd": "no ?derivatives|noderivs", "sa": "share ?alike"}
 CREATIVE = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"]
 CREATIVE_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 # Single phrases as (label, keyword, pattern over words).
 PHRASES = [
-    ("mit", "mit", r"(?:the )?mit license"), ("mit", "mit", r"licensed under (?:the )?mit"),
+    ("mit", "mit", r"(?:the )?mit license"), ("mit", "mit", r"licensed under (?:the )?mit"), ("mit", "mit", r"licen[cs]e mit"),
+    ("isc", "isc", r"licen[cs]e isc"),
     ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("bsd", "bsd", r"(?:[0234] clause |simplified |modified |new )?bsd license"), ("bsd", "bsd", r"bsd [0234] clause"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification"),
@@ -111,6 +122,9 @@ def rules() -> list[Rule]:
             for version in versions:
                 dashed = version.replace(" ", ".")
                 add(f"{label}-{dashed}", 30, keyword, rf"{name}{TO_VERSION}{version}(?: only| or later| or any later version)?")
+                if label in GNU and name == label:  # an identifier, with or without its header
+                    for end in ("only", "or later"):
+                        add(f"{label}-{dashed}-{end.replace(' ', '-')}", 35, keyword, rf"{name} {version} {end}")
             add(f"{label}-or-later", 20, keyword, rf"{name}{TO_VERSION}\S+ (?:or (?:at your option )?)?(?:any )?later")
             add(label, 10, keyword, rf"(?:licensed under|released under|under the terms of|distributed under)(?: the)? {name}")
     for terms in CREATIVE:
@@ -122,6 +136,8 @@ def rules() -> list[Rule]:
         add(label, 20, "creative", rf"creative commons {spelled}")
     for label, keyword, pattern in PHRASES:
         add(label, 10, keyword, pattern)
+    for clauses in "01234":
+        add(f"bsd-{clauses}-clause", 20, "bsd", rf"bsd {clauses} clause(?: licen[cs]e)?|{clauses} clause bsd(?: licen[cs]e)?")
     add("spdx", 4, "spdx", r"spdx license identifier \S+(?: \d+ \d+)?(?: only| or later)?")
     for phrase, label in BASE.items():
         add(label, 5, max(phrase.split(), key=len), phrase)
@@ -135,8 +151,16 @@ class Detection(NamedTuple):
     label: str
 
 
+def identifier_label(words: str) -> str:
+    return re.sub(r"(?<=\b\d) (?=\d)", ".", words).replace(" ", "-")
+
+
 def detect(normal: bytes, order: list[Rule]) -> Iterator[Detection]:
-    """Matches of rules in words joined by single blanks, as intervals of words (ends exclusive)."""
+    """Matches of rules in words joined by single blanks, as intervals of words (ends exclusive).
+
+    What follows "SPDX-License-Identifier" is read as identifiers joined by and, or, with; each is a detection above all
+    rules, labelled as it is written. A plus sign is no word, so "GPL-2.0+" reads as the version alone.
+    """
     blanks = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
     open_ = {k for k in {rule.keyword for rule in order} if k in normal}  # inside a word too: "gplv3"
     for rule in order:
@@ -144,6 +168,10 @@ def detect(normal: bytes, order: list[Rule]) -> Iterator[Detection]:
             for m in rule.pattern.finditer(normal):
                 start = int(np.searchsorted(blanks, m.start()))
                 yield Detection(start, start + m[0].count(b" ") + 1, rule.priority, rule.label)
+    for expression in EXPRESSION.finditer(normal) if b"spdx" in normal else ():
+        for m in ONE_IDENTIFIER.finditer(normal, *expression.span(1)):
+            start = int(np.searchsorted(blanks, m.start()))
+            yield Detection(start, start + m[0].count(b" ") + 1, 40, identifier_label(m[0].decode()))
 
 
 def surviving(found: list[Detection]) -> list[Detection]:

@@ -1,7 +1,8 @@
 import random
 import re
 
-from slotatlas.llm import licenses
+from slotatlas.llm import licenses, queries
+from tests.conftest import SF_DIR
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -69,3 +70,33 @@ def test_glued_versions_and_years():
 def test_an_identifier_does_not_hide_its_license():
     found = licenses.surviving(list(licenses.detect(b"spdx license identifier apache 2 0", licenses.rules())))
     assert {d.label for d in found} == {"spdx", "apache-2.0"}
+
+
+def test_identifiers_are_read_into_labels():
+    spdx = "SPDX-License-Identifier: "
+    for text, wanted in (
+            ("MIT", "mit,spdx"), ("Apache-2.0", "apache-2.0,spdx"), ("ISC", "isc,spdx"), ("BSD-3-Clause", "bsd-3-clause,spdx"),
+            ("GPL-2.0-only", "gpl-2.0-only,spdx"), ("GPL-2.0-or-later", "gpl-2.0-or-later,spdx"), ("CC0-1.0", "cc0-1.0,spdx"),
+            ("MIT OR Apache-2.0", "apache-2.0,mit,spdx"), ("(MIT AND BSD-2-Clause)", "bsd-2-clause,mit,spdx"),
+            ("GPL-2.0-or-later WITH Classpath-exception-2.0", "classpath-exception-2.0,gpl-2.0-or-later,spdx"),
+            ("Apache-2.0 WITH LLVM-exception", "apache-2.0,llvm-exception,spdx"), ("CC-BY-SA-4.0", "cc-by,cc-by-sa-4.0,spdx"),
+            ("LGPL-2.1-only OR MIT", "lgpl-2.1-only,mit,spdx"), ("Unknown-1", "spdx")):
+        assert labels(spdx + text) == wanted, text
+    assert labels("GPL-2.0-only") == "gpl-2.0-only" and labels("GPL-2.0-or-later") == "gpl-2.0-or-later"
+    assert labels("license: MIT") == "mit" and labels("the BSD-3-Clause terms") == "bsd-3-clause"
+    assert labels("permit isc mitten") == "" and labels(spdx + "MITx").split(",") == ["spdx"]
+
+
+def test_repeated_rows_and_ties(spark):
+    text = "SPDX-License-Identifier: MIT\nGPL-2.0-only and GPL-2.0-only"
+    rows = licenses.scan(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).collect()
+    assert sorted(r.labels for r in rows) == ["", "gpl-2.0-only,mit,spdx", "gpl-2.0-only,mit,spdx"]
+
+
+def test_registered_query_on_the_given_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.QUERIES["op10_license_scan"](spark, SF_DIR).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
+        assert r.labels == labels(texts[r.doc_id])
