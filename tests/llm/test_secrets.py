@@ -72,3 +72,14 @@ def test_ledger_scans_unseen_blobs_only(spark, tmp_path):
     secrets.scan(again, newer).count()
     assert newer.read("seen").count() == 2
     assert secrets.scan(again.limit(0), ledger).count() == 0
+
+
+def test_tokens_and_keys_of_any_length_in_linear_time(spark, tmp_path):
+    part = "eyJ" + "a" * 20
+    token = ".".join([part] * 3)
+    texts = [f"x {token} y", "eyJaaaaaaaa" * 90_000, "eyJaaaaaaaa." * 2 + "x", "-----BEGIN " + "A" * 500 + " PRIVATE KEY-----",
+             "-----BEGIN " * 90_000 + "PRIVATE KEY-----", "A " * 500_000 + "PRIVATE KEY-----"]
+    rows = scanned(spark, str(tmp_path / "j"), texts).select("doc_id", secrets.spelled(F.filter("spans", lambda s: s["kind"].isin("jwt", "pem"))).alias("s")).collect()
+    got = {r.doc_id: r.s for r in rows}
+    assert got[0] == f"jwt:2:{2 + len(token)}" and not got[1] and not got[2] and not got[5]
+    assert got[3] == f"pem:0:{len(texts[3])}" and got[4] == f"pem:{len(texts[4]) - 27}:{len(texts[4])}"
