@@ -24,6 +24,7 @@ class Rule:
     value: Column
     expected: str = ""
     message: str = ""
+    source: Column | None = None
 
 
 def run_rules(df: DataFrame, rules: list[Rule], ids: dict[str, Column]) -> DataFrame:
@@ -36,12 +37,22 @@ def run_rules(df: DataFrame, rules: list[Rule], ids: dict[str, Column]) -> DataF
         return F.when(F.coalesce(r.cond, F.lit(False)), F.struct(
             F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"),
             r.value.cast("string").alias("value"), F.lit(r.expected).alias("expected_range"),
-            F.lit(r.message or r.type.replace("_", " ")).alias("message")))
+            F.lit(r.message or r.type.replace("_", " ")).alias("message"),
+            F.coalesce(F.lit("") if r.source is None else r.source.cast("string"), F.lit("")).alias("source")))
 
     fired = F.filter(F.array(*[finding(r) for r in rules]), lambda x: x.isNotNull())
     return df.select(*[c.alias(k) for k, c in ids.items()], F.inline(fired))
 
 
+def name_entities(findings: DataFrame, entities: DataFrame, name: str = "name", part: str = "part") -> DataFrame:
+    """Findings with ``entity_name`` and ``part`` of their entity; null where no entity has the id.
+
+    Only findings travel with the two columns; ``entities`` needs a unique ``id``.
+    """
+    known = entities.select(F.col("id").cast("string").alias("entity_id"), F.col(name).alias("entity_name"), F.col(part).alias("part"))
+    return findings.join(known, "entity_id", "left")
+
+
 def summarize(findings: DataFrame, by: list[str]) -> DataFrame:
     return findings.groupBy(*by).agg(F.count("*").alias("n_findings"))
 
@@ -50,36 +61,36 @@ def two_decimals(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-def range_rules(bounds=R.PRICE_RANGES) -> list[Rule]:
+def range_rules(bounds=R.PRICE_RANGES, source: Column | None = None) -> list[Rule]:
     return [Rule("price_out_of_range", "medium", ~F.col(f).between(lo, hi), f"pricing.{f}", int_if_whole(f),
-                 f"{lo}-{hi}") for f, (lo, hi) in bounds.items()]
+                 f"{lo}-{hi}", source=source) for f, (lo, hi) in bounds.items()]
 
 
-def ratio_rule(field: str, bounds: tuple) -> Rule:
+def ratio_rule(field: str, bounds: tuple, source: Column | None = None) -> Rule:
     ratio = F.col(field) / F.col("single")
     lo, hi = bounds
     cond = (F.col("single") > 0) & (F.col(field) != 0) & ~ratio.between(lo, hi)
     return Rule("price_ratio_unusual", "medium", cond, f"pricing.{field} / pricing.single",
-                int_if_whole(two_decimals(ratio)), f"{lo}-{hi}x")
+                int_if_whole(two_decimals(ratio)), f"{lo}-{hi}x", source=source)
 
 
-def order_rule() -> Rule:
+def order_rule(source: Column | None = None) -> Rule:
     return Rule("trial_exceeds_single", "medium", F.col("trial") > F.col("single"),
-                "pricing.trial vs pricing.single", int_if_whole("trial"), "<= single")
+                "pricing.trial vs pricing.single", int_if_whole("trial"), "<= single", source=source)
 
 
-def place_rules() -> dict[str, list[Rule]]:
-    """Rules of the catalog; all but the price rules look at active places only."""
+def place_rules(price_source: Column | None = None) -> dict[str, list[Rule]]:
+    """Rules of the catalog; all but the price rules look at active places only. ``price_source`` tells where prices are from."""
     active = facets.is_active()
     empty = [F.coalesce(F.col(c), F.lit("")) == "" for c in ("website", "phone", "email")]
     no_city = ~F.exists("addresses", lambda a: F.coalesce(a["city"], F.lit("")) != "")
     outside = ~F.col("lat").between(*R.LAT_BOUNDS) | ~F.col("lng").between(*R.LNG_BOUNDS)
     bad_url = (F.coalesce("website", F.lit("")) != "") & ~F.startswith("website", F.lit("http"))
     return {
-        "dq_range": range_rules(),
-        "dq_ratio_card10": [ratio_rule("card_10", R.RATIO_CARD10)],
-        "dq_ratio_monthly": [ratio_rule("monthly", R.RATIO_MONTHLY)],
-        "dq_order": [order_rule()],
+        "dq_range": range_rules(source=price_source),
+        "dq_ratio_card10": [ratio_rule("card_10", R.RATIO_CARD10, price_source)],
+        "dq_ratio_monthly": [ratio_rule("monthly", R.RATIO_MONTHLY, price_source)],
+        "dq_order": [order_rule(price_source)],
         "dq_missing_name": [Rule("missing_name", "high", active & (F.trim(F.coalesce("name", F.lit(""))) == ""),
                                  "name", F.col("name"))],
         "dq_no_contact": [Rule("no_contact_info", "medium", active & empty[0] & empty[1] & empty[2],
@@ -140,6 +151,7 @@ def orphan_findings(slots: DataFrame, parents: DataFrame, key: str, count_all: b
 
 
 def duplicate_findings(groups: DataFrame, rule_type: str, severity: str, field: str, ident: str, value: str) -> DataFrame:
-    """One finding per group of duplicates (see ``stats.duplicates``)."""
+    """One finding per group of duplicates (see ``stats.duplicates``); columns ``part`` and ``first_name`` name its lowest member."""
     rule = Rule(rule_type, severity, F.lit(True), field, F.concat(F.col(value), F.lit(" x"), F.col("n_members").cast("string")))
-    return run_rules(groups, [rule], {"entity_id": F.col(ident).cast("string")})
+    named = {k: F.col(c) for k, c in (("entity_name", "first_name"), ("part", "part")) if c in groups.columns}
+    return run_rules(groups, [rule], {"entity_id": F.col(ident).cast("string"), **named})

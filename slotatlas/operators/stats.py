@@ -63,15 +63,16 @@ def global_totals(places: DataFrame, slots: DataFrame, part: str = "part") -> Da
                               F.max("_last").alias("last_updated"))
 
 
-def duplicates(df: DataFrame, keys: list[str], member: str, named: list[str] | None = None) -> DataFrame:
-    """Groups with more than one distinct member: how many, and the lowest one.
+def duplicates(df: DataFrame, keys: list[str], member: str, named: list[str] | None = None, label: str | None = None) -> DataFrame:
+    """Groups with more than one distinct member: how many, and the lowest one (``first_name``: its ``label``).
 
     Rows where one of the ``named`` keys (default: all) is null or blank belong to no group. The members are not
     collected; :func:`duplicate_members` lists them as rows.
     """
     for key in keys if named is None else named:
         df = df.filter(F.trim(F.col(key).cast("string")) != "")
-    return df.groupBy(*keys).agg(F.count_distinct(member).alias("n_members"), F.min(member).alias("first_id")) \
+    first = [] if label is None else [F.min_by(label, member).alias("first_name")]
+    return df.groupBy(*keys).agg(F.count_distinct(member).alias("n_members"), F.min(member).alias("first_id"), *first) \
         .filter("n_members > 1")
 
 

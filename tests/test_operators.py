@@ -100,6 +100,17 @@ def test_slot_rules_stop_after_bad_clock_and_order(spark):
     assert quality.orphan_findings(df, parents, "place_id", count_all=True).count() == 3
 
 
+def test_findings_carry_name_partition_and_source(spark):
+    df = spark.createDataFrame([(1, "Lotus", "zh", 500.0, "web"), (2, None, "be", 600.0, None)], "id int, name string, part string, single double, platform string")
+    found = quality.run_rules(df, quality.range_rules({"single": (3, 100)}, F.col("platform")), {"entity_id": F.col("id").cast("string")})
+    named = quality.name_entities(found, df.filter("id = 1"))
+    assert sorted((r.entity_id, r.entity_name, r.part, r.source) for r in named.collect()) == [("1", "Lotus", "zh", "web"), ("2", None, None, "")]
+    groups = stats.duplicates(spark.createDataFrame([(2, "b", "x", "p"), (1, "a", "x", "p"), (3, "c", "y", "p")], "id int, name string, k string, part string"),
+                              ["part", "k"], "id", label="name")
+    r = quality.duplicate_findings(groups, "duplicate_name", "medium", "name", "first_id", "k").first()
+    assert (r.entity_id, r.entity_name, r.part, r.value, r.source) == ("1", "a", "p", "x x2", "")
+
+
 def test_snapshot_diff_skips_null_and_zero(spark):
     old = spark.createDataFrame([(1, 20.0, 0.0), (2, None, 100.0), (3, 30.0, 100.0)], "id int, a double, b double")
     new = spark.createDataFrame([(1, 30.1, 5.0), (2, 9.0, 80.0), (3, 36.0, 10.0)], "id int, a double, b double")
