@@ -90,9 +90,16 @@ def except_stale(published: DataFrame, produced: DataFrame, keys: list[str]) ->
     return published.join(produced.select(*keys), keys, "left_anti")
 
 
-def merge_meta(meta, new_status, website, schedule_url, price_source, now) -> Column:
-    """Provenance: new values where present, previous ones elsewhere."""
+def merge_meta(meta, new_status, website, schedule_url, price_source, now, booking_links=None) -> Column:
+    """Provenance: new values where present, previous ones elsewhere.
+
+    With ``booking_links`` (an array; null or empty: nothing found) the previous provenance holds some too.
+    """
     m = col(meta)
+    links = []
+    if booking_links is not None:
+        found = F.when(F.size(col(booking_links)) > 0, col(booking_links))
+        links = [F.coalesce(found, m["booking_links"], F.array()).alias("booking_links")]
     old_urls = F.coalesce(m["source_urls"], F.create_map().cast("map<string,string>"))
     fresh = F.map_filter(
         F.create_map(F.lit("website"), F.coalesce(col(website), F.lit("")),
@@ -102,7 +109,9 @@ def merge_meta(meta, new_status, website, schedule_url, price_source, now) -> Co
     kept = F.map_filter(old_urls, lambda k, v: ~F.map_contains_key(fresh, k))
     return F.struct(
         F.coalesce(col(new_status), m["scrape_status"], F.lit("no_data")).alias("scrape_status"),
+        col(now).alias("last_scraped"),
         F.when(col(price_source).isNotNull(), col(now)).otherwise(m["last_price_check"]).alias("last_price_check"),
+        *links,
         F.map_concat(kept, fresh).alias("source_urls"))
 
 

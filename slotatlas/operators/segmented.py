@@ -82,3 +82,29 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: str, va
         "_key", F.coalesce(F.sum("_sum").over(_before(_chunks(keys, chunk))), F.lit(0)).alias("_carry"))
     return src.join(summary, "_key", "left") \
         .withColumn(out, F.sum("_v").over(_upto(_local(order))) + F.col("_carry")).drop("_v", "_carry", "_key")
+
+
+def until_streak(df: DataFrame, keys: list[str], order: list[str], chunk: str, hit: Column, limit: int) -> DataFrame:
+    """Rows of a key up to the one that completes ``limit`` hits in a row.
+
+    A chunk is summed up by its length, the hits at its head, its last row without a hit and the first place where a
+    run is complete inside. Summaries combine along the chunks: hits that are open at a border are the rows since the
+    last row without one, so one window over summaries tells where a run that crosses borders ends.
+    """
+    near, chunks = _local(order), _chunks(keys, chunk)
+    src = _keyed(df.withColumn("_hit", hit), keys, chunk).withColumn("_rn", F.row_number().over(near))
+    src = src.withColumn("_miss", F.coalesce(F.max(F.when(~F.col("_hit"), F.col("_rn"))).over(_upto(near)), F.lit(0)))
+    run = F.col("_rn") - F.col("_miss")
+    summary = src.groupBy("_key").agg(
+        F.max("_rn").alias("_n"), F.nullif(F.max("_miss"), F.lit(0)).alias("_last_miss"),
+        F.coalesce(F.max(F.when(F.col("_miss") == 0, F.col("_rn"))), F.lit(0)).alias("_head"),
+        F.min(F.when(run >= limit, F.col("_rn"))).alias("_inside"))
+    before = F.coalesce(F.sum("_n").over(_before(chunks)), F.lit(0))
+    summary = summary.withColumn("_start", before).withColumn("_open", F.col("_start") - F.coalesce(
+        F.last(F.col("_start") + F.col("_last_miss"), ignorenulls=True).over(_before(chunks)), F.lit(0)))
+    missing = F.greatest(F.lit(limit) - F.col("_open"), F.lit(1))
+    across = F.when((F.col("_open") > 0) & (F.col("_head") >= missing), missing)
+    summary = summary.withColumn("_stop", F.least("_inside", across))
+    ended = F.coalesce(F.max(F.col("_stop").isNotNull()).over(_before(chunks)), F.lit(False))
+    stops = summary.select("_key", "_stop", ended.alias("_ended")).filter("NOT _ended")
+    return src.join(stops, "_key").filter(F.col("_stop").isNull() | (F.col("_rn") <= F.col("_stop"))).select(*df.columns)

@@ -17,15 +17,9 @@ def until_miss_streak(df: DataFrame, keys: list[str], order: list[str], chunk: s
     """Attempts that were made before giving up.
 
     A success resets the count; the attempt that completes ``limit`` failures
-    in a row is the last one of the entity.
+    in a row is the last one of the entity. A missing outcome is a failure.
     """
-    src = df.withColumn("_fail", failed)
-    src = segmented.running_sum(src, keys, order, chunk, F.lit(1), "_rn")
-    src = segmented.carry_forward(src, keys, order, chunk, F.when(~F.col("_fail"), F.col("_rn")), "_ok_rn")
-    streak = F.when(F.col("_fail"), F.col("_rn") - F.coalesce("_ok_rn", F.lit(0))).otherwise(F.lit(0))
-    stops = src.groupBy(*keys).agg(F.min(F.when(streak >= limit, F.col("_rn"))).alias("_stop"))
-    return segmented.join_groups(src, stops, keys).filter(F.col("_stop").isNull() | (F.col("_rn") <= F.col("_stop"))) \
-        .select(*df.columns)
+    return segmented.until_streak(df, keys, order, chunk, F.coalesce(failed, F.lit(True)), limit)
 
 
 def first_success(df: DataFrame, keys: list[str], order: list[Column], success: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from slotatlas.operators import extract as X
 from slotatlas.plans import sqltext as Q
 from slotatlas.plans.fixtures import FILLER, N, PRICE_SQL, price_pages, slot_pages, slots_sql
 from slotatlas.plans.registry import query
-from slotatlas.plans.standins import table
+from slotatlas.plans.standins import places_base, table, with_base
 
 ALL = "page_id, pos, day, time_start, time_end, class_name, teacher"
 NO_TEACHER = "page_id, pos, day, time_start, time_end, class_name"
@@ -341,6 +341,20 @@ def ex_booking_links(spark, sf):
     return X.booking_links(table(spark, sf, "pages"), "page_id", "html", _WORDS)
 
 
+@query("ex_booking_platforms", with_base(
+    "SELECT id AS page_id, id % 3 = 0 AS has_schedule_table, p.platform AS platform, schedule_url AS url FROM places, (VALUES ('eversports'), ('momoyoga')) p(platform) "
+    "WHERE contains(lower(schedule_url), p.platform)"))
+def ex_booking_platforms(spark, sf):
+    """Pages of places: their own links, a booking link in the one of three quotings, a table that is a schedule for every third."""
+    href = F.element_at(F.array(F.concat(F.lit('"'), "schedule_url", F.lit('"')), F.concat(F.lit("'"), "schedule_url", F.lit("'")),
+                                F.concat(F.lit('"'), "schedule_url", F.lit('" class="b"'))), (F.col("id") % 3 + 1).cast("int"))
+    head = F.when(F.col("id") % 3 == 0, F.lit("<tr><th>Montag</th><th>Dienstag</th></tr>")).otherwise(F.lit("<tr><th>Menu</th></tr>"))
+    pages = places_base(spark, sf).select(F.col("id").alias("page_id"), F.concat(
+        F.lit("<p><a href='"), "website", F.lit("'>Home</a><a href="), href, F.lit("><b>Book</b></a></p><table>"), head,
+        F.lit("<tr><td>momoyoga eversports</td></tr></table>")).alias("html"))
+    return X.booking_links(pages, "page_id", "html", R.LINK_PLATFORMS)
+
+
 FRONTIER_SQL = f"""
 WITH links AS ({LINKS_SQL}), sites AS (SELECT page_id, {_ORIGIN} AS origin, lower(regexp_replace(url, '/+$', '')) AS seen FROM pages),
 found AS (SELECT page_id, url_key, link, row_number() OVER (PARTITION BY page_id ORDER BY link) AS ord FROM

@@ -264,17 +264,22 @@ def prj_class_row(spark, sf):
     "SELECT id, CASE WHEN id % 3 = 0 THEN status ELSE coalesce(CASE WHEN id % 2 = 0 THEN 'old' END, 'no_data') END AS scrape_status, "
     "concat_ws('|', CASE WHEN website <> '' THEN website WHEN id % 2 = 0 THEN 'w0' END, CASE WHEN schedule_url <> '' THEN schedule_url END, "
     "CASE WHEN id % 7 = 0 THEN 'p1' WHEN id % 2 = 0 THEN 'p0' END) AS urls, "
-    "CASE WHEN id % 7 = 0 THEN '2026-01-02' WHEN id % 2 = 0 THEN '2025-01-01' END AS last_price_check FROM places"))
+    "CASE WHEN id % 7 = 0 THEN '2026-01-02' WHEN id % 2 = 0 THEN '2025-01-01' END AS last_price_check, '2026-01-02' AS last_scraped, "
+    "CASE WHEN schedule_url LIKE '%eversports%' THEN concat('eversports ', schedule_url) WHEN schedule_url LIKE '%momoyoga%' THEN concat('momoyoga ', schedule_url) "
+    "WHEN id % 2 = 0 THEN 'fitogram b0' ELSE '' END AS booking_links FROM places"))
 def prj_meta(spark, sf):
     from slotatlas.operators.reconcile import merge_meta
     p = places_base(spark, sf).selectExpr(
         "id", "website", "schedule_url", "CASE WHEN id % 3 = 0 THEN status END AS new_status",
         "CASE WHEN id % 7 = 0 THEN 'p1' END AS price_source",
         "CASE WHEN id % 2 = 0 THEN named_struct('scrape_status', 'old', 'last_price_check', '2025-01-01', "
-        "'source_urls', map('website', 'w0', 'pricing', 'p0')) END AS meta")
-    m = p.select("id", merge_meta("meta", "new_status", "website", "schedule_url", "price_source", F.lit("2026-01-02")).alias("m"))
+        "'source_urls', map('website', 'w0', 'pricing', 'p0'), 'booking_links', array(named_struct('platform', 'fitogram', 'url', 'b0'))) END AS meta",
+        "transform(filter(array('eversports', 'mindbody', 'momoyoga', 'fitogram', 'classpass'), p -> contains(lower(schedule_url), p)), "
+        "p -> named_struct('platform', p, 'url', schedule_url)) AS links")
+    m = p.select("id", merge_meta("meta", "new_status", "website", "schedule_url", "price_source", F.lit("2026-01-02"), "links").alias("m"))
     u = F.concat_ws("|", *[F.try_element_at(F.col("m.source_urls"), F.lit(k)) for k in ("website", "schedule", "pricing")])
-    return m.select("id", "m.scrape_status", u.alias("urls"), "m.last_price_check")
+    links = F.array_join(F.transform("m.booking_links", lambda b: F.concat_ws(" ", b["platform"], b["url"])), "|")
+    return m.select("id", "m.scrape_status", u.alias("urls"), "m.last_price_check", "m.last_scraped", links.alias("booking_links"))
 
 
 @query("prj_top_tags", with_places(

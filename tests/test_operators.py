@@ -141,6 +141,35 @@ def test_miss_streak(spark):
     assert got.filter("k = 1").count() == 10 and got.filter("k = 2").count() == 20
 
 
+def test_miss_streak_against_brute_force(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for key in [None, *range(30)]:
+        going, streak = True, 0
+        for t in range(2000 if key == 0 else rng.randrange(60)):
+            bad = rng.choices([True, False, None], [8, 4, 1])[0] if key else rng.random() < 0.3
+            rows.append((key, t, t // 3, bad))
+            if going:
+                want.add((key, t))
+                streak = 0 if bad is False else streak + 1
+                going = streak < 4
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, t int, chunk int, bad boolean")
+    for chunk in ("chunk", "one"):
+        got = sequences.until_miss_streak(df.withColumn("one", F.lit(0)), ["k"], ["t"], chunk, F.col("bad"), 4).select("k", "t").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert sequences.until_miss_streak(df.limit(0), ["k"], ["t"], "chunk", F.col("bad")).count() == 0
+
+
+def test_merged_provenance_keeps_links(spark):
+    df = spark.range(4).selectExpr(
+        "id", "CASE WHEN id > 1 THEN named_struct('scrape_status', 'old', 'last_price_check', 'd', 'source_urls', map('website', 'w'), "
+        "'booking_links', array('b')) END AS meta", "CASE id % 2 WHEN 0 THEN array('n') ELSE CAST(array() AS array<string>) END AS links", "CAST(NULL AS string) AS none")
+    got = df.select("id", reconcile.merge_meta("meta", "none", "none", "none", "none", F.lit("now"), "links").alias("m")).select("id", "m.*")
+    assert {r.id: (r.booking_links, r.last_scraped, r.last_price_check) for r in got.collect()} == {
+        0: (["n"], "now", None), 1: ([], "now", None), 2: (["n"], "now", "d"), 3: (["b"], "now", "d")}
+
+
 def test_robots_groups(spark):
     star = "User-agent: *\nDisallow: /"
     df = spark.createDataFrame([
