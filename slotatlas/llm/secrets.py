@@ -43,7 +43,7 @@ FURTHER = [
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", r"xox[abeoprs]-"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", r"AIza"),
     # from the head of a run of its characters, each run read once
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8}"),
+    Rule("jwt", r"eyJ(?<![A-Za-z0-9_-]eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
     # from the start of a run of scheme characters, so that a long run is read once
     Rule("url", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[A-Za-z0-9._~%+-]++:[A-Za-z0-9._~%!$&*+-]{3,}+@", r"://[A-Za-z0-9._~%+-]++:"),
