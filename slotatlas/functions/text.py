@@ -8,6 +8,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotatlas.functions.patterns import led
 from slotatlas.functions.timefn import col, let
 from slotatlas.rules import SLUG_PREFIX, SLUG_SUFFIXES
 
@@ -61,13 +62,10 @@ def up_to_last(c, closer: str, edit) -> Column:
     What follows holds no whole element, so a search that starts at an open tag always ends at a closing one: many open
     tags without an end cost no more than any other text.
     """
-    letters = "".join(sorted({x for x in closer if x.isalpha()}))
-
     def split(t: Column) -> Column:
-        lowered = F.translate(t, letters.upper(), letters) if letters else t
-        return let(F.length(F.substring_index(lowered, closer, -1)), lambda rest: F.when(
-            rest == F.length(t), t).otherwise(F.concat(edit(F.left(t, F.length(t) - rest)), F.right(t, rest))))
-    return let(col(c), split)
+        return let(F.regexp_extract(t, rf"(?is)^.*{closer}", 0), lambda head: F.when(head == "", t).otherwise(
+            F.concat(edit(head), F.substring(t, F.length(head) + 1, F.length(t)))))
+    return let(col(c), lambda t: F.when(F.contains(t, F.lit(closer[0])), split(t)).otherwise(t))
 
 
 def without_element(c, tag: str) -> Column:
@@ -81,7 +79,9 @@ def without_tags(c, by: str = " ") -> Column:
 
 def inner_text(c) -> Column:
     """Tags and white space to single blanks, entities decoded."""
-    plain = F.trim(F.regexp_replace(without_tags(c), r"[\s\u00a0]+", " "))
+    # a single blank stays as it is, so most texts have no match; single characters make the class a table
+    space = r"\t\n\x0B\f\r\u00a0"
+    plain = F.trim(F.regexp_replace(without_tags(c), rf"[{space}][ {space}]*| [ {space}]+", " "))
     return let(plain, lambda t: F.when(F.contains(t, F.lit("&")), squash(_decode(t))).otherwise(t))
 
 
@@ -107,10 +107,10 @@ def strip_edges(c, chars: str = r"\s\-–—|/:,") -> Column:
 
 def class_name_clean(c) -> Column:
     """Drop date ranges, ``N)`` prefixes, clock ranges and ``Uhr`` / ``h``."""
-    text = F.regexp_replace(col(c), r"\s*/?\s*\d{2}\.\d{2}\.\d{4}\s*[-–]\s*\d{2}\.\d{2}\.\d{4}", "")
+    text = F.regexp_replace(col(c), led(r"\s*/?\s*\d{2}\.\d{2}\.\d{4}\s*[-–]\s*\d{2}\.\d{2}\.\d{4}"), "")
     text = F.regexp_replace(text, r"^\d+\)\s*", "")
     text = F.regexp_replace(text, r"\d{1,2}[:.]\d{2}\s*[-–—]\s*\d{1,2}[:.]\d{2}", "")
-    text = F.regexp_replace(strip_edges(text), r"\s*\b(?:Uhr|h)\b\s*", " ")
+    text = F.regexp_replace(strip_edges(text), led(r"\s*\b(?:Uhr|h)\b\s*", 1), " ")
     return F.trim(text)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotatlas.functions.patterns import look, word_tree
 from slotatlas.rules import DAY_SHORT, DAY_WORDS, DAYS
 
 
@@ -74,15 +75,14 @@ def day_normalize(c, lang: str | None = None) -> Column:
     """
     langs = [lang] if lang in DAY_SHORT else []
     words = [w for ws in DAY_WORDS.values() for w in ws] + [w for x in langs for w in DAY_SHORT[x]]
-    pattern = "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
-    found = F.regexp_extract(F.lower(col(c)), rf"(?<!\p{{L}})({pattern})s?(?!\p{{L}})", 1)
+    pattern = word_tree(words)
+    found = F.regexp_extract(F.lower(col(c)), rf"{look(pattern)}(?<!\p{{L}})({pattern})s?(?!\p{{L}})", 1)
     return F.try_element_at(_day_map(langs), found)
 
 
 def day_word_regex(min_length: int = 3) -> str:
     """Alternation of all day words of at least this length, longest first."""
-    words = {w for ws in DAY_WORDS.values() for w in ws if len(w) >= min_length}
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    return word_tree(w for ws in DAY_WORDS.values() for w in ws if len(w) >= min_length)
 
 
 def day_name(date) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from slotatlas import rules as R
 from slotatlas.functions import price, urls
+from slotatlas.functions.patterns import led
 from slotatlas.functions.text import class_name_clean, rendered_text, strip_edges, strip_tags
 from slotatlas.functions.timefn import (clock, col, day_name, day_normalize, end_time, iso_timestamp, let, pad_clock)
 from slotatlas.operators import html as H
@@ -47,10 +48,10 @@ def clean(slots: Column) -> Column:
 
     def firsts(found):
         alone = F.filter(found, lambda x, i: (i == 0) | (x["key"] != F.get(found, i - 1)["key"]))
-        placed = F.array_sort(F.transform(alone, lambda x: F.struct(x["place"].alias("place"), x["slot"].alias("slot"))))
+        placed = F.sort_array(F.transform(alone, lambda x: F.struct(x["place"].alias("place"), x["slot"].alias("slot"))))
         return F.transform(placed, lambda x: x["slot"])
 
-    return let(F.array_sort(F.transform(F.filter(slots, lambda s: s.isNotNull()), keyed)), firsts)
+    return let(F.sort_array(F.transform(F.filter(slots, lambda s: s.isNotNull()), keyed)), firsts)
 
 
 def extract(pages: DataFrame, key: str, slots: Column) -> DataFrame:
@@ -65,7 +66,7 @@ def _first(arr: Column, cond) -> Column:
 
 def _range(text: Column) -> tuple[Column, Column]:
     def part(g):
-        return F.regexp_replace(F.nullif(F.regexp_extract(text, H.RANGE, g), F.lit("")), r"\.", ":")
+        return F.replace(F.nullif(F.regexp_extract(text, H.RANGE, g), F.lit("")), F.lit("."), F.lit(":"))
     return part(1), part(2)
 
 
@@ -90,7 +91,7 @@ def table_slots(html, lang: str | None = None) -> Column:
     def one(row, above):
         numbered = F.transform(H.cells(row), lambda c, i: F.struct(
             i.alias("i"), c.alias("t"), day_normalize(c, lang).alias("d"),
-            F.transform(H.found(c, r"\b\d{1,2}[:.]\d{2}\b(?!\.)"), lambda x: F.replace(x, F.lit("."), F.lit(":"))).alias("times")))
+            F.transform(H.found(c, r"(?=\d)\b\d{1,2}[:.]\d{2}\b(?!\.)"), lambda x: F.replace(x, F.lit("."), F.lit(":"))).alias("times")))
 
         def pick(n):
             day = _first(n, lambda c: c["d"].isNotNull())
@@ -132,7 +133,7 @@ def _named(text: Column, day: Column, single_ok: bool) -> Column:
             name, r"(?i)\b(?:with|mit|avec|con)\s+([\p{L}\d_\s]+?)(?:\s*[,|]|$)", 1))))
 
     def single():
-        one = F.regexp_replace(F.regexp_extract(text, H.CLOCK, 0), r"\.", ":")
+        one = F.replace(F.regexp_extract(text, H.CLOCK, 0), F.lit("."), F.lit(":"))
         return F.when((F.length(text) > 5) & text.rlike(H.CLOCK), let(
             class_name_clean(F.regexp_replace(text, H.CLOCK, "")),
             lambda rest: F.when(F.length(rest) > 2, slot(day, one, None, rest))))

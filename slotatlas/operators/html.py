@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotatlas.functions.patterns import look
 from slotatlas.functions.text import inner_text as cell_text
 from slotatlas.functions.text import unescape, without_element, without_tags
 from slotatlas.functions.timefn import col, day_word_regex, let
 
-DAY = rf"(?<!\p{{L}})(?:{day_word_regex(3)})s?(?!\p{{L}})"
+DAY = rf"{look(day_word_regex(3))}(?<!\p{{L}})(?:{day_word_regex(3)})s?(?!\p{{L}})"
 CLOCK = r"\d{1,2}[:.]\d{2}"
 RANGE = rf"({CLOCK})\s*[-–—]\s*({CLOCK})"
 
@@ -25,8 +26,7 @@ def found(c, pattern: str, group: int = 0) -> Column:
 
 def closed(c, closer: str) -> Column:
     """The text up to the last closing tag (lower case, found in any case): behind it no element ends."""
-    letters = "".join(sorted({x for x in closer if x.isalpha()}))
-    return let(col(c), lambda t: F.left(t, F.length(t) - F.length(F.substring_index(F.translate(t, letters.upper(), letters), closer, -1))))
+    return F.regexp_extract(col(c), rf"(?is)^.*{closer}", 0)
 
 
 def tables(html) -> Column:
@@ -47,12 +47,16 @@ def header_text(table) -> Column:
 
 def leaves(html, tags: str) -> Column:
     """Texts between the borders of elements with one of the tags; other tags inside them are part of the text."""
-    pieces = F.transform(F.split(col(html), rf"(?is)</?(?:{tags})\b[^>]*>", -1), cell_text)
+    border = rf"/?(?:{tags})\b[^>]*>"  # found rather than split by, as Spark compiles the pattern of a split for each text
+    pieces = F.transform(found(html, rf"(?is)((?:[^<]++|<(?!{border}))*+)(?:<{border}|\z)", 1), cell_text)
     return F.filter(pieces, lambda t: t != "")
 
 
 def cut_before(c, pattern: str) -> Column:
     """Pieces that start where the pattern matches; the first one holds what comes before."""
+    if pattern.startswith("<"):  # looked for at tags only, with a pattern that is compiled once
+        rest = rf"[^<]*+(?:(?!{pattern})<[^<]*+)*+"
+        return found(c, rf"(?is)<{rest}|\A[^<]{rest}")
     return F.split(col(c), rf"(?ism)(?={pattern})", -1)
 
 
