@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slotatlas import rules as R
+from slotatlas.functions.patterns import led
 from slotatlas.functions.text import hash_fraction
 from slotatlas.functions.timefn import col, let
 
@@ -71,11 +72,14 @@ def near_keyword(text, pattern: str, chars: int = R.NEAR_CHARS, bounds=R.NEAR_BO
         return F.array_min(lowest)
 
     def scan(t):
-        marked = F.regexp_replace(t, f"({pattern.lower()})", f"{_HIT}$1{_END}")
+        marked = F.regexp_replace(t, f"({led(pattern.lower())})", f"{_HIT}$1{_END}")
         return let(F.split(marked, _HIT, -1), lambda parts: F.when(F.size(parts) > 1, let(
             F.transform(parts, lambda p: F.replace(p, F.lit(_END))), lambda plain: windows(parts, plain))))
 
-    return let(F.translate(F.lower(col(text)), _HIT + _END, "  "), scan)
+    def unmarked(t):
+        return F.when(F.contains(t, F.lit(_HIT)) | F.contains(t, F.lit(_END)), F.translate(t, _HIT + _END, "  ")).otherwise(t)
+
+    return let(let(F.lower(col(text)), unmarked), scan)
 
 
 def free_trial(text) -> Column:
@@ -90,8 +94,8 @@ def free_trial(text) -> Column:
             return ~context.rlike(guard)
         return F.when(t.rlike(p), let(F.split(t, p, 2), around)).otherwise(F.lit(False))
 
-    clean = F.regexp_replace(F.lower(col(text)), R.FREE_TRIAL_NOISE, "")
-    return let(clean, lambda t: reduce(lambda a, b: a | b, [hit(t, p) for p in R.FREE_TRIAL_PATTERNS]))
+    clean = F.regexp_replace(F.lower(col(text)), led(R.FREE_TRIAL_NOISE), "")
+    return let(clean, lambda t: reduce(lambda a, b: a | b, [hit(t, led(p)) for p in R.FREE_TRIAL_PATTERNS]))
 
 
 def amount_fallback(found, price_page) -> Column:
