@@ -490,7 +490,7 @@ def text_prices(text, url) -> Column:
     Every stage runs once, and only on texts that hold an amount at all.
     """
     t = col(text)
-    page = F.concat_ws(" ", F.lower(col(url)), F.lower(t)).rlike(R.PRICE_PAGE)
+    page = F.concat_ws(" ", F.lower(col(url)), F.lower(t)).rlike(led(R.PRICE_PAGE))
 
     def combine(near, fall):
         out = {f: F.coalesce(near[f], fall[f]) for f in ("single", "card_10", "monthly")}
@@ -522,7 +522,11 @@ def page_prices(pages: DataFrame, html: str, url: str) -> DataFrame:
         return let(text_prices(ta, url), lambda a: F.when(a["single"].isNotNull() | (ta == tb), a).otherwise(
             let(text_prices(tb, url), lambda b: choose(a, b))))
 
-    priced = let(rendered_text(html), lambda ta: let(strip_tags(html), lambda tb: best(ta, tb)))
+    def both(tb):
+        # without a closing noscript the two renderings are one
+        return let(F.when(col(html).rlike("(?i)</noscript>"), rendered_text(html)).otherwise(tb), lambda ta: best(ta, tb))
+
+    priced = let(strip_tags(html), both)
     # Unfolding a list of at most one result drops the empty ones without a second evaluation.
     return pages.withColumn("p", F.explode(F.filter(F.array(priced), lambda p: p.isNotNull())))
 
