@@ -255,7 +255,8 @@ def line_slots(text, longest: int | None = None, name_longest: int | None = None
 
 def day_block_slots(html) -> Column:
     """Any element that names a day sets it; the divs with a range below emit."""
-    marker = rf"<[a-z][a-z0-9]*\b[^>]*>[^<\d]*{H.DAY}[^<\d]*</"
+    plain = "[^<0123456789]*"  # digits one by one: Java looks single characters up in a table
+    marker = rf"<[a-z][a-z0-9]*\b[^>]*>{plain}{H.DAY}{plain}</"
     pieces = F.filter(H.cut_before(html, marker), lambda p: p.rlike(rf"(?is)^{marker}"))
 
     def piece(p):
