@@ -295,8 +295,8 @@ def calendar_slots(html, teacher_mode: str = "second") -> Column:
 
 def text_before_slots(text, chars: int = 100) -> Column:
     """``Day @ HH:MM`` hits: the name is the last sentence chunk before the hit."""
-    days = "|".join(R.DAYS)
-    rx = rf"(?i)(?:{days})s?\s*[@at]*\s*\d{{1,2}}:\d{{2}}"
+    days = "|".join(R.DAYS).lower()
+    rx = "(?i)" + led(rf"(?:{days})s?\s*[@at]*\s*\d{{1,2}}:\d{{2}}")
 
     def hit(h, before):
         # the last sentence chunk of the text between two hits; the window reaches back over earlier hits too
