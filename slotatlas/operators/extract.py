@@ -271,24 +271,30 @@ def calendar_slots(html, teacher_mode: str = "second") -> Column:
     sections = H.cut_before(html, r"<h3\b[^>]*calendar__day-header")
 
     def section(s):
-        above = day_name(F.try_to_timestamp(F.regexp_extract(s, r"(?is)^<h3\b[^>]*data-day=[\"']([0-9-]+)", 1), F.lit("yyyy-MM-dd")))
+        above = day_name(F.try_to_timestamp(F.nullif(F.regexp_extract(s, r"(?is)^<h3\b[^>]*data-day=[\"']([0-9-]+)", 1), F.lit("")), F.lit("yyyy-MM-dd")))
         items = F.filter(H.cut_before(s, r"<li\b[^>]*calendar__slot"), lambda x: x.rlike(r"(?is)^<li\b[^>]*calendar__slot"))
 
-        def item(x, above):
-            label = H.cell_text(F.regexp_extract(x, r"(?s)class=.sr-only[^>]*>(.*?)</", 1))
-            date = F.regexp_extract(label, r"(\d{2}/\d{2}/\d{4})", 1)
+        def label(x):
+            return H.cell_text(F.regexp_extract(x, r"(?s)class=.sr-only[^>]*>(.*?)</", 1))
+
+        def item(x, label, above):
+            # an empty date is none: Spark would raise and catch an error for it
+            date = F.nullif(F.regexp_extract(label, r"(\d{2}/\d{2}/\d{4})", 1), F.lit(""))
             day = F.coalesce(day_normalize(label), day_name(F.try_to_timestamp(date, F.lit("dd/MM/yyyy"))), above)
             time = H.cell_text(F.regexp_extract(x, r"(?s)session-time[^>]*>(.*?)</", 1))
-            start = F.regexp_extract(time, r"(\d{1,2}:\d{2})", 1)
-            length = F.regexp_extract(time, r"(\d+)\s*[Mm]in", 1).try_cast("int")
             name = H.cell_text(F.regexp_extract(x, r"(?s)session-name[^>]*>(.*?)</", 1))
             marks = F.transform(H.found(x, r"(?s)class=.ellipsis[^>]*>(.*?)</", 1), H.cell_text)
-            if teacher_mode == "second":
-                teacher = F.coalesce(F.get(marks, F.lit(1)), F.get(marks, F.lit(0)))
-            else:
-                teacher = _first(marks, lambda t: (t != "") & ~F.lower(t).rlike("spot|level") & (t != name) & (t != F.upper(t)))
-            return slot(day, start, end_time(start, length), name, teacher)
-        return F.transform(items, lambda x: item(x, above))
+
+            def made(v):
+                start = F.regexp_extract(v["time"], r"(\d{1,2}:\d{2})", 1)
+                length = F.regexp_extract(v["time"], r"(\d+)\s*[Mm]in", 1).try_cast("int")
+                if teacher_mode == "second":
+                    teacher = F.coalesce(F.get(v["marks"], F.lit(1)), F.get(v["marks"], F.lit(0)))
+                else:
+                    teacher = _first(v["marks"], lambda t: (t != "") & ~F.lower(t).rlike("spot|level") & (t != v["name"]) & (t != F.upper(t)))
+                return slot(v["day"], start, end_time(start, length), v["name"], teacher)
+            return let(F.struct(day.alias("day"), time.alias("time"), name.alias("name"), marks.alias("marks")), made)
+        return let(above, lambda day: F.transform(items, lambda x: let(label(x), lambda text: item(x, text, day))))
 
     return F.flatten(F.transform(sections, section))
 
