@@ -2,7 +2,7 @@
 
 Three steps. (1) Documents are dealt into blocks by hash of their id; each block counts its distinct n-grams, hashed to
 64 bits, and deals them by the leading bits of the hash: the parts of the count tables. (2) Each part adds up the corpus counts of its n-grams and gives every
-block of documents the counts of the n-grams that the block holds. (3) Blocks join
+block of documents the counts of the n-grams that the block holds, and all blocks its number of words. (3) Blocks join
 the counts to the n-grams of their documents and sum the scores for each document.
 
 What travels are sorted, packed arrays of distinct n-grams: an n-gram that occurs everywhere is one entry for each
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotatlas.llm.common import shuffle_partitions, words_of
+from slotatlas.llm.common import shuffle_partitions
 from slotatlas.llm.ngram_join import WORD
 
 #: Factor for each step down to a shorter n-gram.
@@ -114,8 +114,11 @@ def _dealt(held: dict[tuple[int, int], list[np.ndarray]], order: int, bits: int)
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
 
-def corpus_counts(parts: DataFrame) -> DataFrame:
-    """For each (block, order, part): corpus counts of the block's distinct n-grams there, in the order of their hashes."""
+def corpus_counts(parts: DataFrame, n_blocks: int) -> DataFrame:
+    """For each (block, order, part): corpus counts of the block's distinct n-grams there, in the order of their hashes.
+
+    A part of single words also tells every block how many words of the corpus it has counted: over all parts, all words.
+    """
     def add_up(rows: pd.DataFrame) -> pd.DataFrame:
         blocks, grams, counts = [], [], []
         for b, s, g, c in zip(rows["blocks"], rows["sizes"], rows["grams"], rows["counts"]):
@@ -134,21 +137,25 @@ def corpus_counts(parts: DataFrame) -> DataFrame:
         owner, gram = np.divmod(asked, len(names))
         cuts = np.flatnonzero(np.diff(owner)) + 1
         part = int(rows["part"].iloc[0])
-        made = [(int(o[0]), int(rows["gram_order"].iloc[0]), part, squeeze(total[g])) for o, g in zip(np.split(owner, cuts), np.split(gram, cuts))]
-        return pd.DataFrame(made, columns=["block", "gram_order", "part", "totals"])
+        order = int(rows["gram_order"].iloc[0])
+        packed = {int(o[0]): squeeze(total[g]) for o, g in zip(np.split(owner, cuts), np.split(gram, cuts))}
+        words = 0 if order else int(total.sum())
+        made = [(b, order, part, packed.get(b, b""), words) for b in (packed if order else range(n_blocks))]
+        return pd.DataFrame(made, columns=["block", "gram_order", "part", "totals", "words"])
 
-    return parts.groupBy("gram_order", "part").applyInPandas(add_up, "block int, gram_order int, part int, totals binary")
+    return parts.groupBy("gram_order", "part").applyInPandas(add_up, "block int, gram_order int, part int, totals binary, words long")
 
 
-def score_blocks(docs: DataFrame, totals: DataFrame, order: int, words: int, held_out: bool) -> DataFrame:
+def score_blocks(docs: DataFrame, totals: DataFrame, order: int, held_out: bool) -> DataFrame:
     """`doc_id, n_words, score, mean_score` from documents and the counts of their blocks."""
     def score(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         grams_of = Grams(order)
-        texts = [grams_of(t) for t in rows["text"]]
+        texts = [grams_of(t) for t in rows["text"]]  # none for a block without documents
+        words = int(counts["words"].sum())
         levels = []  # for each order: for each text the corpus counts at each place, and the text's own
         for n in range(order):
             mine = counts[counts["gram_order"] == n].sort_values("part")["totals"]
-            total = np.concatenate([np.zeros(0, np.uint64), *(expand(t, np.uint64) for t in mine)])
+            total = np.concatenate([np.zeros(0, np.uint64), *(expand(t, np.uint64) for t in mine if t)])
             flat = np.concatenate([np.zeros(0, np.uint64), *(t[n] if len(t) > n else [] for t in texts)]).astype(np.uint64)
             _, where = np.unique(flat, return_inverse=True)
             ends = np.cumsum([len(t[n]) if len(t) > n else 0 for t in texts])[:-1]
@@ -203,7 +210,7 @@ def score(df: DataFrame, order: int = 2, held_out: bool = True, doc_id: str = "d
     parts = shuffle_partitions(spark)
     bits = max(2, math.ceil(math.log2(parts)))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(2 * parts)).cast("int"))
-    words = docs.agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0))).first()[0]
+    n_blocks = 2 * parts
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
     dealt = docs.repartition(parts, "block")  # shuffled once: counting and scoring read the same exchange
-    return score_blocks(dealt, corpus_counts(count_parts(dealt, order, bits)), order, words, held_out)
+    return score_blocks(dealt, corpus_counts(count_parts(dealt, order, bits), n_blocks), order, held_out)
