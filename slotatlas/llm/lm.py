@@ -30,6 +30,8 @@ from slotatlas.llm.ngram_join import WORD
 BACKOFF = 0.4
 #: Texts of about this size are counted together before they are handed on.
 HELD_BYTES = 32 << 20
+#: Packed counts of about this size are handed to Spark at once.
+DEALT_BYTES = 2 << 20
 #: Entries a worker remembers before it starts anew. Has no influence on results.
 REMEMBERED = 500_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -83,35 +85,36 @@ def count_parts(docs: DataFrame, order: int, bits: int) -> DataFrame:
                         held[n, block].append(grams)
                 size += len(text)
                 if size >= HELD_BYTES:
-                    yield _dealt(held, order, bits)
-                    held.clear()
+                    yield from _dealt(held, order, bits)
                     size = 0
-        if held:
-            yield _dealt(held, order, bits)
+        yield from _dealt(held, order, bits)
 
     return docs.select("block", "text").mapInArrow(run, "gram_order int, part int, blocks binary, sizes binary, grams binary, counts binary")
 
 
-def _dealt(held: dict[tuple[int, int], list[np.ndarray]], order: int, bits: int) -> pa.RecordBatch:
+def _dealt(held: dict[tuple[int, int], list[np.ndarray]], order: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows, some megabytes at a time; what is held is given up on the way."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    out = []
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    names = ["gram_order", "part", "blocks", "sizes", "grams", "counts"]
     for n in range(order):
-        parts: list[list[tuple]] = [[] for _ in range(1 << bits)]
-        for (of, block), found in held.items():
-            if of == n:
-                grams, counts = np.unique(np.concatenate(found), return_counts=True)
-                cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
-                for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    if lo < hi:
-                        parts[part].append((block, np.diff(grams[lo:hi], prepend=np.uint64(0)), counts[lo:hi].astype(np.uint32)))
-        for part, rows in enumerate(parts):
+        distinct = []  # for each block: n-grams in order, their counts, and where the parts begin and end
+        for block in [of for o, of in held if o == n]:
+            grams, counts = np.unique(np.concatenate(held.pop((n, block))), return_counts=True)
+            distinct.append((block, grams, counts.astype(np.uint32), [0, *np.searchsorted(grams, edges).tolist(), len(grams)]))
+        out, size = [], 0
+        for part in range(1 << bits):
+            rows = [(block, grams[cuts[part]:cuts[part + 1]], counts[cuts[part]:cuts[part + 1]])
+                    for block, grams, counts, cuts in distinct if cuts[part] < cuts[part + 1]]
             if rows:
                 blocks, grams, counts = zip(*rows)
+                steps = np.concatenate([np.diff(g, prepend=np.uint64(0)) for g in grams])
                 out.append((n, part, np.array(blocks, np.int32).tobytes(), np.array([len(g) for g in grams], np.int32).tobytes(),
-                            squeeze(np.concatenate(grams)), squeeze(np.concatenate(counts))))
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    names = ["gram_order", "part", "blocks", "sizes", "grams", "counts"]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
+                            squeeze(steps), squeeze(np.concatenate(counts))))
+                size += sum(map(len, out[-1][2:]))
+            if out and (size >= DEALT_BYTES or part + 1 == 1 << bits):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                out, size = [], 0
 
 
 def corpus_counts(parts: DataFrame, n_blocks: int) -> DataFrame:
